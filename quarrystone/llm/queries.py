@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_counts
@@ -27,6 +28,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside ten-word windows of the benchmark."""
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are equal but for blanks, with the row that stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -35,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -48,6 +57,24 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id""",
+    "op7_decontaminate": """
+        WITH w AS (
+            SELECT doc_id AS id, 0 AS kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+            UNION ALL
+            SELECT item_id, 1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        iw AS (
+            SELECT DISTINCT id AS item_id, k AS size, array_to_string(words[p:p + k - 1], ' ') AS win
+            FROM (SELECT *, least(10, len(words)) AS k, unnest(range(1, greatest(len(words) - 8, 2))) AS p FROM w WHERE kind = 1 AND len(words) > 0)),
+        sizes AS (SELECT DISTINCT size FROM iw),
+        dw AS (
+            SELECT id AS doc_id, size, p, array_to_string(words[p:p + size - 1], ' ') AS win
+            FROM (SELECT id, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM w, sizes WHERE kind = 0 AND len(words) >= size)),
+        hits AS (SELECT doc_id, item_id, p, dw.size FROM dw JOIN iw ON dw.win = iw.win AND dw.size = iw.size),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+        SELECT id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN covered ON id = covered.doc_id LEFT JOIN items ON id = items.doc_id WHERE kind = 0""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]', '', 'g') AS norm FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
