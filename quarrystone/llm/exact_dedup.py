@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .store import drop, saved
 from .text import BLANKS, whole
 
+DECIMAL = "decimal(38,0)"
 #: Bits of a run's filter are dealt over bitmaps of 32,768 bits; a bucket is one bitmap.
 FILTER_BUCKETS = 1 << 13
 
@@ -27,8 +28,16 @@ def normalised(text: Column | str) -> Column:
 
 
 def _best() -> Column:
-    """Most code points first, then the smallest identifier."""
-    return F.min(F.struct((-F.col("n_chars")).alias("m"), F.col("doc_id").alias("id")))
+    """Most code points first, then the smallest identifier, null before all: one decimal, so that hash aggregation can keep it."""
+    rest = F.coalesce(F.lit(str(10**19)).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)"), F.lit(str(5 * 10**19)).cast(DECIMAL))
+    return F.max((F.col("n_chars").cast("decimal(17,0)") * F.lit(str(10**20)).cast("decimal(21,0)") + rest).cast(DECIMAL))
+
+
+def _entry(best: Column) -> tuple[Column, Column]:
+    """The length and the identifier in a ``_best``."""
+    length = F.floor(best / F.lit(str(10**20)).cast("decimal(21,0)")).cast("long")
+    rest = best % F.lit(str(10**20)).cast("decimal(21,0)")
+    return length, F.when(rest < F.lit(str(5 * 10**19)).cast(DECIMAL), (F.lit(str(10**19)).cast(DECIMAL) - rest).cast("long"))
 
 
 class DigestIndex:
@@ -55,7 +64,7 @@ class DigestIndex:
         rows = runs[0]
         for r in runs[1:]:
             rows = rows.unionByName(r)
-        return rows.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
+        return rows.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.max("best").alias("best"))
 
     def merged(self) -> DataFrame:
         return self._compact([r for _, runs in sorted(self.levels.items()) for r in runs])
@@ -78,7 +87,9 @@ class DigestIndex:
                 some = asked.join(self.run_filter(run), "bucket").where(hit == 1).select("digest")
                 rows = run.join(some, "digest")
                 found = rows if found is None else found.unionByName(rows)
-        return found.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
+        length, keep = _entry(F.col("best"))
+        found = found.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.max("best").alias("best"))
+        return found.select("digest", "group_size", keep.alias("keep_id"), length.alias("keep_chars"))
 
 
 def exact_dedup(docs: DataFrame, batches: int = 4, fanout: int = 4, digest_bytes: int = 32) -> DataFrame:
@@ -123,7 +134,7 @@ def exact_dedup(docs: DataFrame, batches: int = 4, fanout: int = 4, digest_bytes
 
 
 def _result(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    return rows.join(index, key).select(
-        "doc_id", F.col("best.id").alias("keep_id"), "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.m"))).alias("kept"), "text_sha256",
-    )
+    length, keep = _entry(F.col("best"))
+    rows = rows.join(index.withColumns({"keep_id": keep, "keep_chars": length}), key)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard_join import similar_components
 from .line_dedup import line_dedup
 from .mixing import mix_counts
 
@@ -35,6 +36,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles are at least 75 % alike."""
+    return similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are equal but for blanks, with the row that stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -75,6 +82,19 @@ ORACLES: dict[str, str] = {
         SELECT id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered ON id = covered.doc_id LEFT JOIN items ON id = items.doc_id WHERE kind = 0""",
+    "op9_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS words FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS sh
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+            JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 75 * (na.n + nb.n - p.c)),
+        reach AS (SELECT doc_id AS doc, doc_id AS root FROM w UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc, min(root) AS component_id FROM reach GROUP BY doc) m ON m.doc = w.doc_id""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]', '', 'g') AS norm FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
