@@ -12,17 +12,37 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import similar_components
 from .line_dedup import line_dedup
 from .mixing import mix_counts
+from .quality import importance_sample
+from .token_files import token_counts
+from .url_filter import judge_urls
+from .warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents, and those that the sample keeps."""
+    out = importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_ngrams", F.round("log_weight", 6).alias("log_weight"), F.round("sample_key", 6).alias("sample_key"), "kept")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 3, 1, 2 and 150 % of all words."""
     return mix_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules, then by two character models."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, from flat token files by a scan for separators."""
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more, removed from every document."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -36,6 +56,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC files and read back through the two-level index."""
+    return archived(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles are at least 75 % alike."""
     return similar_components(_table(spark, sf_dir, "documents"))
@@ -47,9 +72,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_mix_sources": op2_mix_sources,
+    "op4_url_filter": op4_url_filter,
+    "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc_index": op8_warc_index,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -82,6 +111,16 @@ ORACLES: dict[str, str] = {
         SELECT id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered ON id = covered.doc_id LEFT JOIN items ON id = items.doc_id WHERE kind = 0""",
+    "op8_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+            SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(concat('0b', substr(bits, i, 5)) AS INTEGER), 1), '' ORDER BY i) AS digest
+            FROM (SELECT h, i, (SELECT string_agg(CAST(CAST(concat('0x', substr(h, k, 1)) AS INTEGER)::BIT AS VARCHAR)[29:32], '' ORDER BY k) FROM range(1, 41) t(k)) AS bits
+                  FROM (SELECT DISTINCT h FROM p), range(1, 157, 5) s(i)) GROUP BY h)
+        SELECT page_id, strlen(t) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = max(page_id) OVER (PARTITION BY t) THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < max(page_id) OVER (PARTITION BY t) THEN max(page_id) OVER (PARTITION BY t) END AS refers_to
+        FROM p JOIN d ON d.h = p.h""",
     "op9_jaccard_join": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS words FROM documents),
