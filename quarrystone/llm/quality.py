@@ -71,9 +71,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> np.nd
 
 
 def sample(labels: DataFrame, max_labelled: int) -> DataFrame:
-    """(doc_id, good) of a bounded number of labelled ids; an id with several labels is good if all are."""
-    ok = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(ok).alias("good"))
+    """(doc_id, good, bad) of a bounded number of labelled ids; of several labels the worst counts. Toxic texts of quality 1
+    are neither: they aren't what the target model is fitted on, and the cut is one of quality."""
+    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    one = one.select("doc_id", ((F.col("q") == 1) & (F.col("t") == 0)).alias("good"), (F.col("q") != 1).alias("bad"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
@@ -103,8 +104,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 def best_cut(scored: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> float | None:
     """The mean log ratio that parts the bounded sample of labelled texts best; None without both kinds of labels."""
-    both = sample(labels, max_labelled).join(scored.where("n_ngrams > 0"), "doc_id").select("good", (F.col("log_weight") / F.col("n_ngrams")).alias("m")).toPandas()
-    good, bad = np.sort(both["m"][both["good"]]), np.sort(both["m"][~both["good"].astype(bool)])
+    both = sample(labels, max_labelled).join(scored.where("n_ngrams > 0"), "doc_id").select("good", "bad", (F.col("log_weight") / F.col("n_ngrams")).alias("m")).toPandas()
+    good, bad = (np.sort(both["m"][both[c].astype(bool)]) for c in ("good", "bad"))
     if not len(good) or not len(bad):
         return None
     cuts = np.unique(np.r_[good, bad])

@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import similar_components
 from .line_dedup import line_dedup
 from .mixing import mix_counts
+from .pii import KINDS, listed, with_spans
 from .quality import importance_sample
 from .token_files import token_counts
 from .url_filter import judge_urls
@@ -33,6 +34,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that disclose it."""
+    out = with_spans(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["rank"] < len(KINDS))
+    return out.select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by rules, then by two character models."""
     return judge_urls(_table(spark, sf_dir, "pages"))
@@ -74,6 +83,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_mix_sources": op2_mix_sources,
+    "op3_sanitise": op3_sanitise,
     "op4_url_filter": op4_url_filter,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,

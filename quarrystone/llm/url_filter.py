@@ -2,7 +2,7 @@
 
 The models are variable-order Markov models of accepted and rejected URLs: counts of the characters that follow each
 context of up to ``order`` characters, each order smoothed by the next shorter one. A URL's score is the
-log-likelihood difference a character; the cut is the one that parts held-out ruled URLs best. Both models are learned from the
+log-likelihood difference a character; the cut is the highest one below which at most ``max_false`` of held-out accepted URLs fall. Both models are learned from the
 URLs that the rules decide, half of them for the counts and half for the cut, chosen by a hash.
 
 All of it is DataFrame operations. Scores are computed once for every distinct window of ``order`` + 1 characters; windows of
@@ -67,7 +67,7 @@ def score_windows(counts: DataFrame, windows: DataFrame, order: int, strength: f
     return out.select("w", F.log(F.col("p_a") / F.col("p_r")).alias("llr"))
 
 
-def score_urls(urls: DataFrame, order: int = 4, strength: float = 2.0) -> tuple[DataFrame, float | None]:
+def score_urls(urls: DataFrame, order: int = 4, strength: float = 2.0, max_false: float = 0.01) -> tuple[DataFrame, float | None]:
     """``urls`` has (id, url, verdict), the verdict null where no rule fits. Returns (id, score) and the cut.
 
     Without URLs of both verdicts there is no cut.
@@ -80,16 +80,16 @@ def score_urls(urls: DataFrame, order: int = 4, strength: float = 2.0) -> tuple[
     each = urls.select("id", F.explode(_windows(F.col("url"), order)).alias("w")).join(_small(table, table.count()), "w")
     scores = saved(each.groupBy("id").agg(F.round(F.avg("llr"), 9).alias("score")), "url-sums")
     held = scores.join(urls.where("verdict is not null").select("id", "verdict", (F.pmod(F.xxhash64("url"), F.lit(2)) == 1).alias("held")), "id")
-    # Errors of every cut, from counts by thousandths of a nat: rows are the bins, not the URLs.
+    # Accepted URLs below every cut, from counts by thousandths of a nat: rows are the bins, not the URLs.
     bins = held.where("held").groupBy(F.floor(F.col("score") * 1000).alias("bin")).agg(*(F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")))
     everything = Window.partitionBy()
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    loss = F.coalesce(F.sum("allow").over(before), F.lit(0)) / F.sum("allow").over(everything) + 1 - F.coalesce(F.sum("block").over(before), F.lit(0)) / F.sum("block").over(everything)
-    best = bins.withColumn("loss", F.round(loss, 9)).where("loss is not null").orderBy("loss", "bin").first()
+    bins = bins.withColumns({"lost": F.coalesce(F.sum("allow").over(before), F.lit(0)) / F.sum("allow").over(everything), "blocked": F.sum("block").over(everything)})
+    best = bins.where((F.col("lost") <= max_false) & (F.col("blocked") > 0)).orderBy(F.desc("bin")).first()
     return scores, None if best is None else best.bin / 1000
 
 
-def judge_urls(pages: DataFrame, rules=RULES, order: int = 4, strength: float = 2.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, order: int = 4, strength: float = 2.0, max_false: float = 0.01) -> DataFrame:
     """page_id, host, path, rule, score, verdict for every row of ``pages``.
 
     A URL without ``://`` and a null one have empty host and path. The longest rule that fits decides; else the URL is
@@ -100,6 +100,6 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = 4, strength: float =
     rows = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "r.rule", "r.verdict")
     urls = saved(rows.groupBy("url").agg(F.first("verdict").alias("verdict")).withColumn("id", F.col("url")), "urls")
-    scores, cut = score_urls(urls, order, strength)
+    scores, cut = score_urls(urls, order, strength, max_false)
     judged = F.when(F.col("score") >= cut, "allow").otherwise("block") if cut is not None else F.lit("allow")
     return rows.join(scores.withColumnRenamed("id", "url"), "url").select("page_id", "host", "path", "rule", "score", F.coalesce("verdict", judged).alias("verdict"))
