@@ -1,7 +1,7 @@
 """Exact similarity join on word shingles, answered as components, that skips by set relations.
 
 * Sets that are equal are one node, named by a 64-bit hash of the set, so copies cost a row each and nothing more.
-* Answers from similar sets: nodes with the same smallest shingle are read in the order of their sizes beside
+* Answers from similar sets: nodes with the same smallest shingle (then: under other hashes, one node a component) are read in the order of their sizes beside
   a few leading sets; one that is similar to a leader takes over the leader's component. Links that these answers imply
   are never looked for again.
 * Index with skipping: every node is listed under its rarest shingles, so many that two similar nodes share a list. Lists are
@@ -27,10 +27,12 @@ from .components import components
 from .kernel import BLANK_CLASSES, flat, mix64, ngrams, small_batches, tokens
 from .store import drop, saved
 
-#: Entries of the table of common shingles that goes to all executors: 12 MB at most.
-MOST_COMMON = 1_000_000
+#: Entries of the table of common shingles that goes to all executors: 24 MB at most.
+MOST_COMMON = 2_000_000
 #: Shingles of one count for that table, and how often one must be repeated in it.
-COUNTED, REPEATED = 1 << 21, 4
+COUNTED, REPEATED = 1 << 21, 2
+#: Seeds of the hashes whose smallest value is a further key of a set.
+SEEDS = (0x1234567, 0x89ABCDE, 0xF012345)
 #: Lists up to this length give their pairs at once; longer ones first learn their nodes' components.
 SHORT = 6
 #: Nodes that share their smallest shingle are dealt over tasks by this number; leaders held while reading them.
@@ -64,12 +66,12 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-NODE = "doc_id long, sig long, n long, key1 long, hist binary, common binary"
+NODE = "doc_id long, sig long, n long, keys array<long>, hist binary, common binary"
 
 
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("hist", pa.binary()), ("common", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("hist", pa.binary()), ("common", pa.binary())])
         held, size, seen = [], 0, set()
 
         def common() -> pa.RecordBatch:
@@ -85,7 +87,7 @@ def _describe(n: int):
                     rows.append({"doc_id": doc, "n": 0})
                     continue
                 sig = signature(u)
-                rows.append({"doc_id": doc, "sig": sig, "n": len(u), "key1": int(u[:1].astype(np.int64)[0]), "hist": _histogram(u)})
+                rows.append({"doc_id": doc, "sig": sig, "n": len(u), "keys": [int(u[:1].astype(np.int64)[0]), *(int(mix64(u ^ np.uint64(x)).min().astype(np.int64)) for x in SEEDS)], "hist": _histogram(u)})
                 if sig not in seen:
                     seen.add(sig)
                     held.append(u)
@@ -257,19 +259,25 @@ def _room(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percen
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= _needed(n1, n2, percent))
 
 
-def _across(percent: int):
-    """Long lists in the order (h, n): pairs of nodes of different components that sizes and positions leave possible."""
+def _across(percent: int, nearest: bool):
+    """Long lists in the order (h, n): pairs of nodes of different components that sizes and positions leave possible; or
+    each node's next such partner only."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(rows: list) -> Iterator[pa.RecordBatch]:
         sig, n, pos, comp = (np.concatenate([r[c] for r in rows]) for c in range(4))
+        near = []
         for i in range(len(sig) - 1):
             upto = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = np.arange(i + 1, upto)
             j = j[comp[j] != comp[i]]
-            j = j[_room(np.full(len(j), n[i]), np.full(len(j), pos[i]), n[j], pos[j], percent)]
-            if len(j):
+            j = j[_room(np.full(len(j), n[i]), np.full(len(j), pos[i]), n[j], pos[j], percent)][: 1 if nearest else None]
+            if len(j) and nearest:
+                near.append((min(sig[j[0]], sig[i]), max(sig[j[0]], sig[i])))
+            elif len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[j], sig[i])), pa.array(np.maximum(sig[j], sig[i]))], schema=schema)
+        if near:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*near, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -308,6 +316,41 @@ def _compared(percent: int):
     return run
 
 
+def _led(docs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes (sig, n, doc_id, key1) to leaders of the same key. Large groups are divided, and leaders of their
+    parts meet again."""
+    groups = keyed.groupBy("key1").agg(F.count("*").alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / SHARE)
+    grouped = saved(keyed.join(groups, "key1").select("sig", "n", "key1", "doc_id", parts.alias("parts"), F.pmod("sig", parts).alias("part")), "grouped")
+    sets = _only(docs, grouped.select("doc_id")).mapInArrow(_sets(words), "sig long, elements binary")
+    sets = sets.join(grouped.drop("doc_id"), "sig").repartition("key1", "part").sortWithinPartitions("key1", "part", "n", "sig")
+    schema = "a long, b long, key1 long, elements binary"
+    first = saved(sets.select("sig", "key1", "part", "parts", "elements").mapInArrow(_follow(percent), schema), "followed")
+    again = first.where("elements is not null").select(F.col("a").alias("sig"), "key1", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "elements")
+    again = again.repartition("key1").sortWithinPartitions("key1", F.length("elements"), "sig").mapInArrow(_follow(percent), schema)
+    return first.where("elements is null").select("a", "b").unionByName(again.select("a", "b"))
+
+
+def _verified(docs: DataFrame, described: DataFrame, nodes: DataFrame, comps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that are links: bounded by class counts, then compared."""
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    pairs = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    pairs = saved(pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "pairs-across")
+    both = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
+    hist = described.join(nodes.select("sig", "doc_id"), ["sig", "doc_id"], "left_semi").join(both(pairs), "sig", "left_semi")
+    hist = saved(hist.dropDuplicates(["sig"]).select("sig", "n", "hist"), "classes")
+    of = lambda c: hist.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
+    left = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
+    left = saved(left.mapInArrow(_bounded(percent), "a long, b long"), "pairs-left")
+    ids = nodes.join(both(left), "sig", "left_semi").select("doc_id")
+    sets = saved(_only(docs, ids).mapInArrow(_sets(words), "sig long, elements binary"), "sets-left")
+    of = lambda c: sets.select(F.col("sig").alias(c), F.col("elements").alias(f"elements_{c}"))
+    more = left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "elements_a", "elements_b").mapInArrow(_compared(percent), "a long, b long")
+    more = saved(more, "verified-links")
+    drop(pairs, hist, left, sets)
+    return more
+
+
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
@@ -324,25 +367,22 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         rows.where("common is not null").select("common").mapInArrow(_unpacked, "h long, c long")
         .groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toPandas()
     )
-    hashes, counts = common["h"].to_numpy(np.int64).astype(np.uint64), common["c"].to_numpy(np.int64)
+    hashes, counts = common["h"].to_numpy(np.int64).astype(np.uint64), common["c"].to_numpy(np.int64).clip(max=(1 << 31) - 1).astype(np.int32)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
     described = rows.where("common is null").drop("common")
     nodes = saved(
-        described.where("n > 0").groupBy("sig").agg(*[F.min(c).alias(c) for c in ("doc_id", "n", "key1")], F.count("*").alias("copies")), "nodes")
-
-    # Components from sets that share their smallest shingle.
-    groups = nodes.groupBy("key1").agg(F.count("*").alias("size")).where("size > 1")
-    grouped = saved(nodes.join(groups, "key1").select("sig", "n", "key1", "doc_id", F.ceil(F.col("size") / SHARE).alias("parts"), F.pmod("sig", F.ceil(F.col("size") / SHARE)).alias("part")), "grouped")
-    sets = _only(docs, grouped.select("doc_id")).mapInArrow(_sets(words), "sig long, elements binary")
-    sets = sets.join(grouped.drop("doc_id"), "sig").repartition("key1", "part").sortWithinPartitions("key1", "part", "n", "sig")
-    first = saved(sets.select("sig", "key1", "part", "parts", "elements").mapInArrow(_follow(percent), "a long, b long, key1 long, elements binary"), "followed")
-    again = first.where("elements is not null").select(F.col("a").alias("sig"), "key1", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "elements")
-    again = again.repartition("key1").sortWithinPartitions("key1", F.length("elements"), "sig").mapInArrow(_follow(percent), "a long, b long, key1 long, elements binary")
-    links = saved(first.where("elements is null").select("a", "b").unionByName(again.select("a", "b")), "first-links")
-    drop(first, grouped)
-    comps = components(links)
-    comps = saved(comps, "first-components")
+        described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+
+    # Components from sets that share their smallest shingle, then from those of different components that share another key.
+    keyed = nodes.select("sig", "n", "doc_id", F.posexplode("keys").alias("k", "key1"))
+    links = saved(_led(docs, keyed.where("k = 0").drop("k"), words, percent), "first-links")
+    comps = saved(components(links), "first-components")
+    keyed = keyed.where("k > 0").withColumn("key1", F.xxhash64("k", "key1")).drop("k")
+    keyed = keyed.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    one = keyed.groupBy("key1", "comp").agg(F.min("sig").alias("sig"))  # one set stands for its component
+    more = saved(_led(docs, keyed.drop("comp").join(one.select("key1", "sig"), ["key1", "sig"]), words, percent), "first-links")
+    comps = saved(components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "first-components")
 
     # Pairs across components, from the lists of rarest shingles.
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -350,32 +390,19 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     lists = docs.select("text").mapInArrow(_lists(words, percent, hashes, counts, buckets), "bucket long, postings binary, owners binary")
     lists = lists.repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket")
     found = saved(lists.mapInArrow(_joined(percent), "h long, a long, b long, n long, pos long"), "list-pairs")
-    member = found.where("h is not null").select("h", F.col("a").alias("sig"), "n", "pos")
-    member = member.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    member = saved(member, "long-lists")
-    mixed = member.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
-    across = member.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp")
-    pairs = found.where("h is null").select("a", "b").unionByName(across.mapInArrow(_across(percent), "a long, b long"))
-    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    pairs = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
-    pairs = pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-    pairs = saved(pairs, "pairs-across")
+    member = saved(found.where("h is not null").select("h", F.col("a").alias("sig"), "n", "pos"), "long-lists")
+    # First the pairs of short lists and each node's nearest partner in long ones; most components meet by these, and
+    # what they imply is left out when all remaining pairs of the long lists are looked at.
+    for nearest in (True, False):
+        within = member.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        mixed = within.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
+        across = within.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp")
+        pairs = across.mapInArrow(_across(percent, nearest), "a long, b long")
+        pairs = pairs.unionByName(found.where("h is null").select("a", "b")) if nearest else pairs
+        links = _verified(docs, described, nodes, comps, pairs, words, percent)
+        if not links.isEmpty():
+            comps = saved(components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
     drop(found, member)
-    hist = described.join(nodes.select("sig", "doc_id"), ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]).select("sig", "n", "hist")
-    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "asked")
-    hist = hist.join(asked, "sig", "left_semi")
-    of = lambda c: hist.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
-    left = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
-    left = saved(left.mapInArrow(_bounded(percent), "a long, b long"), "pairs-left")
-    drop(pairs, asked)
-    ids = nodes.join(left.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").select("doc_id")
-    sets = saved(_only(docs, ids).mapInArrow(_sets(words), "sig long, elements binary"), "sets-left")
-    of = lambda c: sets.select(F.col("sig").alias(c), F.col("elements").alias(f"elements_{c}"))
-    more = left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "elements_a", "elements_b").mapInArrow(_compared(percent), "a long, b long")
-    more = saved(more, "second-links")
-    drop(left, sets, links)
-    if not more.isEmpty():
-        comps = saved(components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
 
     small = described.select("doc_id", "sig", "n").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     names = small.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
