@@ -266,12 +266,15 @@ def _across(percent: int, nearest: bool):
 
     def of(rows: list) -> Iterator[pa.RecordBatch]:
         sig, n, pos, comp = (np.concatenate([r[c] for r in rows]) for c in range(4))
+        # Class counts; a set without them is given room for everything.
+        hist = np.array([np.frombuffer(x, np.uint8) if x is not None else np.full(256, 255, np.uint8) for r in rows for x in r[4]])
         near = []
         for i in range(len(sig) - 1):
             upto = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = np.arange(i + 1, upto)
             j = j[comp[j] != comp[i]]
-            j = j[_room(np.full(len(j), n[i]), np.full(len(j), pos[i]), n[j], pos[j], percent)][: 1 if nearest else None]
+            j = j[_room(np.full(len(j), n[i]), np.full(len(j), pos[i]), n[j], pos[j], percent)]
+            j = j[np.minimum(hist[j], hist[i]).sum(1, dtype=np.int64) >= _needed(n[j], n[i], percent)][: 1 if nearest else None]
             if len(j) and nearest:
                 near.append((min(sig[j[0]], sig[i]), max(sig[j[0]], sig[i])))
             elif len(j):
@@ -282,7 +285,7 @@ def _across(percent: int, nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            h, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            h, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(0, int)
             for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if h[x] != now and held:
@@ -331,14 +334,13 @@ def _led(docs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFra
     return first.where("elements is null").select("a", "b").unionByName(again.select("a", "b"))
 
 
-def _verified(docs: DataFrame, described: DataFrame, nodes: DataFrame, comps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, comps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of different components that are links: bounded by class counts, then compared."""
     side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
     pairs = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
     pairs = saved(pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "pairs-across")
     both = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
-    hist = described.join(nodes.select("sig", "doc_id"), ["sig", "doc_id"], "left_semi").join(both(pairs), "sig", "left_semi")
-    hist = saved(hist.dropDuplicates(["sig"]).select("sig", "n", "hist"), "classes")
+    hist = saved(nodes.join(both(pairs), "sig", "left_semi").select("sig", "n", "hist"), "classes")
     of = lambda c: hist.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
     left = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
     left = saved(left.mapInArrow(_bounded(percent), "a long, b long"), "pairs-left")
@@ -372,7 +374,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     hashes, counts = hashes[order], counts[order]
     described = rows.where("common is null").drop("common")
     nodes = saved(
-        described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+        described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("hist").alias("hist")), "nodes")
 
     # Components from sets that share their smallest shingle, then from those of different components that share another key.
     keyed = nodes.select("sig", "n", "doc_id", F.posexplode("keys").alias("k", "key1"))
@@ -393,17 +395,23 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     member = saved(found.where("h is not null").select("h", F.col("a").alias("sig"), "n", "pos"), "long-lists")
     # First the pairs of short lists and each node's nearest partner in long ones; most components meet by these, and
     # what they imply is left out when all remaining pairs of the long lists are looked at.
-    for nearest in (True, False):
+    short = found.where("h is null").select("a", "b")
+    for nearest in (True, True, False):
         within = member.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         mixed = within.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
-        across = within.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp")
+        within = within.join(mixed, "h", "left_semi").join(nodes.select("sig", "hist"), "sig")
+        across = within.repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp", "hist")
         pairs = across.mapInArrow(_across(percent, nearest), "a long, b long")
-        pairs = pairs.unionByName(found.where("h is null").select("a", "b")) if nearest else pairs
-        links = _verified(docs, described, nodes, comps, pairs, words, percent)
+        pairs = pairs if short is None else pairs.unionByName(short)
+        short = None
+        links = _verified(docs, nodes, comps, pairs, words, percent)
         if not links.isEmpty():
             comps = saved(components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
     drop(found, member)
 
     small = described.select("doc_id", "sig", "n").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     names = small.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return small.join(names, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = small.join(names, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = saved(out, "similar")
+    drop(rows, nodes, comps)
+    return out
