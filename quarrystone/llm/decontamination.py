@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import WORD_CLASSES, flat, small_batches, tokens
-from .store import saved
+from .store import drop, saved
 
 #: Tokens of a segment (a longer document is a segment by itself) and candidates held at once.
 SEGMENT, CANDIDATES = 1 << 20, 1 << 20
@@ -220,7 +220,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     for hits. Repeated items and repeated rows count each by itself; other columns are ignored; an empty table on either side
     gives no hits or no rows.
     """
-    parts = find(build_index(docs), benchmark, size)
+    index = build_index(docs)
+    parts = find(index, benchmark, size)
     if len(parts) == 1:
         out = parts[0]
     else:  # hits of several blocks may overlap, so their spans are added up
@@ -232,4 +233,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         step = "(acc, x) -> struct(greatest(acc.upto, x div 1000000 + x % 1000000) AS upto, acc.n + greatest(0, x div 1000000 + x % 1000000 - greatest(acc.upto, x div 1000000)) AS n)"
         out = out.withColumn("n_hit", F.expr(f"aggregate(spans, struct(0L AS upto, 0L AS n), {step}, acc -> acc.n)"))
     known = F.filter("items", lambda x: x.isNotNull())
-    return out.select("doc_id", "n_words", "n_hit", F.array_distinct(known).alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = saved(out.select("doc_id", "n_words", "n_hit", F.array_distinct(known).alias("items"), (F.col("n_hit") > 0).alias("contaminated")), "decontaminated")
+    drop(index)
+    return out
