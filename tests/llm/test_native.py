@@ -33,7 +33,7 @@ def test_digest_index_levels_and_lookup(spark):
     for b in range(5):
         index.add(spark.createDataFrame([(f"d{b % 3}", 10 + b, b)], "digest string, n_chars long, doc_id long"))
     assert len(index.levels) > 1
-    found = {r.digest: (r.group_size, r.best.id) for r in index.lookup(spark.createDataFrame([("d1",), ("no",)], "digest string")).collect()}
+    found = {r.digest: (r.group_size, r.keep_id) for r in index.lookup(spark.createDataFrame([("d1",), ("no",)], "digest string")).collect()}
     assert found == {"d1": (2, 4)}
 
 
