@@ -23,9 +23,12 @@ def _pieces(text: str, size: int, overlap: int) -> list[str]:
             elif now and len(par) + overlap + 1 <= size:
                 out.append(now)
                 now, new = now[-overlap:] if overlap else "", False
+            elif room < 1:
+                out.append(now)
+                now, new = now[-overlap:] if overlap else "", False
             else:
-                now = (f"{now}\n" if now else "") + par[: max(room, 1)]
-                par = par[max(room, 1) :]
+                now = (f"{now}\n" if now else "") + par[:room]
+                par = par[room:]
                 out.append(now)
                 now, new = now[-overlap:] if overlap and par else "", False
     if new:
