@@ -5,9 +5,9 @@ filter. ``fanout`` runs of a level are compacted into one run of the next, which
 row seen and the count. A run whose filter rules a digest out isn't searched for it. Rows whose digest is in the
 index more than once get their bytes compared before they count as equal.
 
-Everything is DataFrame operations. What travels is a digest, a length and two identifiers a row; texts move only
-as the smallest and largest text of each repeated digest, aggregated on the map side, so a group of copies that
-holds a third of all rows is one row a task.
+Everything is DataFrame operations. Through the index travel a digest, a length and an identifier a row, added up on the map
+side, so a group of copies that holds a third of all rows is one row a task. For the comparison of bytes the texts meet
+the repeated digests in a join (a shuffle of the texts once those digests are too many to broadcast).
 """
 
 from __future__ import annotations
