@@ -98,12 +98,12 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, n: int, gene
     entities = found.select("kind", "value", "doc_id", "h").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
     both = near.select("kind", "value", "term", "doc_id", "h").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_b")).where(F.col("n_b") >= support)
     both = saved(both.join(entities.where((F.col("n_e") >= support) & (F.col("n_e") < n)), ["kind", "value"]), "near-counts")
-    terms = saved(both.select("term").distinct(), "near-terms")
-    few = terms.count()
+    # Words are counted before they meet the terms: how many stand near an entity grows faster than the corpus.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    counts = words.join(F.broadcast(terms) if few <= BROADCAST_ROWS else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log(F.col("n_b") * n / (F.greatest("n_t", "n_b") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    return saved(both.join(counts, "term").withColumn("share", F.round(share, 9)).where(F.col("share") >= generalise).select("kind", "value", "term", "share"), "disclosing-terms")
+    both = F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
+    return saved(counts.join(both, "term").withColumn("share", F.round(share, 9)).where(F.col("share") >= generalise).select("kind", "value", "term", "share"), "disclosing-terms")
 
 
 def find_spans(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
