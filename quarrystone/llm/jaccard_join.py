@@ -108,6 +108,24 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t["h"].astype(np.int64)), pa.array(t["c"])], names=["h", "c"])
 
 
+def _most_common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles that batches repeat most: as many whole classes of like counts as
+    ``MOST_COMMON`` holds. The driver never sorts them and gets no other rows than these."""
+    packed = rows.where("common is not null").select("common").mapInArrow(_unpacked, "h long, c long")
+    counted = saved(packed.groupBy("h").agg(F.sum("c").alias("c")).withColumn("level", F.floor(4 * F.log2("c"))), "counted")
+    cut, room = None, MOST_COMMON
+    for level, size in counted.groupBy("level").agg(F.count("*")).orderBy(F.desc("level")).collect():  # at most 252 rows
+        room -= size
+        if room < 0:
+            break
+        cut = level
+    table = counted.where(F.col("level") >= F.lit(cut)).select("h", F.least("c", F.lit((1 << 31) - 1)).cast("int").alias("c")).toArrow()
+    drop(counted)
+    hashes, counts = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` with these ids; the ids go to all executors if there are few enough."""
     ids = saved(ids.distinct(), "ids")
@@ -365,13 +383,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = saved(docs.mapInArrow(_describe(words), NODE), "shingled")
-    common = (
-        rows.where("common is not null").select("common").mapInArrow(_unpacked, "h long, c long")
-        .groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toPandas()
-    )
-    hashes, counts = common["h"].to_numpy(np.int64).astype(np.uint64), common["c"].to_numpy(np.int64).clip(max=(1 << 31) - 1).astype(np.int32)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
+    hashes, counts = _most_common(rows)
     described = rows.where("common is null").drop("common")
     nodes = saved(
         described.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("hist").alias("hist")), "nodes")
