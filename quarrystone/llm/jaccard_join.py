@@ -339,8 +339,9 @@ def _compared(percent: int):
 
 def _led(docs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of nodes (sig, n, doc_id, key1) to leaders of the same key. Large groups are divided, and leaders of their
-    parts meet again."""
-    groups = keyed.groupBy("key1").agg(F.count("*").alias("size")).where("size > 1")
+    parts meet again. Keys with the same sets are one group."""
+    groups = keyed.groupBy("key1").agg(F.count("*").alias("size"), F.min("sig").alias("least"), F.bit_xor(F.xxhash64("sig")).alias("all")).where("size > 1")
+    groups = groups.groupBy("size", "least", "all").agg(F.min("key1").alias("key1"))
     parts = F.ceil(F.col("size") / SHARE)
     grouped = saved(keyed.join(groups, "key1").select("sig", "n", "key1", "doc_id", parts.alias("parts"), F.pmod("sig", parts).alias("part")), "grouped")
     sets = _only(docs, grouped.select("doc_id")).mapInArrow(_sets(words), "sig long, elements binary")
