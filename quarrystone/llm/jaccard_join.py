@@ -42,14 +42,25 @@ BROADCAST_IDS = 500_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the n-word shingles of each text; shorter texts have one of all their words."""
+    """Sorted distinct 56-bit hashes of the n-word shingles of each text; shorter texts have one of all their words."""
     h, first = tokens(*flat(column), BLANK_CLASSES)
-    g, out = ngrams(h, n), []
+    g, out, cut = ngrams(h, n) >> np.uint64(8), [], np.uint64(8)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append(np.unique(g[a : b - n + 1]) if b - a >= n else ngrams(h[a:b], b - a) + np.uint64(b - a) if b > a else g[:0])
+        out.append(np.unique(g[a : b - n + 1]) if b - a >= n else (ngrams(h[a:b], b - a) + np.uint64(b - a)) >> cut if b > a else g[:0])
     return out
 
 
+def _pack(u: np.ndarray) -> bytes:
+    """The seven low bytes of each hash."""
+    return np.ascontiguousarray(u.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def signature(u: np.ndarray) -> int:
     m = mix64(u + np.uint64(0xA0761D6478BD642F))
     both = np.array([np.bitwise_xor.reduce(m), np.add.reduce(m), len(u)], np.uint64)
@@ -136,7 +147,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [u for u in shingle_sets(batch.column(1), n) if len(u)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["sig", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature(u) for u in sets], pa.int64()), pa.array([_pack(u) for u in sets], pa.binary())], names=["sig", "elements"])
     return run
 
 
@@ -158,7 +169,7 @@ def _follow(percent: int):
             for row in batch.to_pylist():
                 if (row["key1"], row["part"]) != now:
                     now, leaders = (row["key1"], row["part"]), []
-                u = np.frombuffer(row["elements"], np.uint64)
+                u = _unpack(row["elements"])
                 for k, (sig, v) in enumerate(leaders):
                     if sig == row["sig"] or _similar(u, v, percent):
                         if sig != row["sig"]:
@@ -174,6 +185,8 @@ def _follow(percent: int):
     return run
 
 
+#: A list is named by its bucket and 32 bits of its shingle: lists that share a name are read as one, which adds pairs to
+#: compare and no links.
 POSTING = np.dtype([("h", np.uint64), ("doc", np.uint16), ("pos", np.uint16)])
 OWNER = np.dtype([("sig", np.int64), ("n", np.int32)])
 
@@ -210,7 +223,7 @@ def _lists(n: int, percent: int, hashes: np.ndarray, counts: np.ndarray, buckets
                 p = all_p[x:y].copy()
                 p["doc"] = doc
                 names.append(int(b[x]))
-                blobs.append(p["h"].tobytes() + p["doc"].tobytes() + p["pos"].tobytes())
+                blobs.append((p["h"] >> np.uint64(16)).astype(np.uint32).tobytes() + p["doc"].tobytes() + p["pos"].tobytes())
                 tables.append(table["sig"][some].tobytes() + table["n"][some].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(tables, pa.binary())], names=["bucket", "postings", "owners"])
     return run
@@ -220,11 +233,11 @@ def _joined(percent: int):
     """Lists of a bucket at a time: pairs of short lists, and the entries of long ones."""
     schema = pa.schema([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 
-    def of(blobs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def of(bucket: int, blobs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         hs, sigs, ns, poss = [], [], [], []
         for p, o in blobs:
-            k, m = len(p) // 12, len(o) // 12
-            h, doc, pos = np.frombuffer(p, np.uint64, k), np.frombuffer(p, np.uint16, k, 8 * k), np.frombuffer(p, np.uint16, k, 10 * k)
+            k, m = len(p) // 8, len(o) // 12
+            h, doc, pos = np.frombuffer(p, np.uint32, k), np.frombuffer(p, np.uint16, k, 4 * k), np.frombuffer(p, np.uint16, k, 6 * k)
             hs.append(h)
             sigs.append(np.frombuffer(o, np.int64, m)[doc])
             ns.append(np.frombuffer(o, np.int32, m, 8 * m)[doc])
@@ -233,7 +246,7 @@ def _joined(percent: int):
         order = np.argsort(h, kind="stable")
         run = np.r_[False, h[order][1:] == h[order][:-1]]
         order = order[run | np.r_[run[1:], False]]  # lists of two entries or more
-        order = order[np.lexsort((sig[order], n[order], h[order]))]
+        order = order[np.lexsort((pos[order], sig[order], n[order], h[order]))]  # a node's first position counts
         h, sig, n, pos = h[order], sig[order], n[order], pos[order]
         if not len(h):
             return
@@ -256,19 +269,19 @@ def _joined(percent: int):
             yield pa.RecordBatch.from_arrays([none, pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none], schema=schema)
         long = np.repeat(length > SHORT, length)
         if long.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[long].astype(np.int64)), pa.array(sig[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(n[long]), pa.array(pos[long])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(h[long].astype(np.int64) + (bucket << 32)), pa.array(sig[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(n[long]), pa.array(pos[long])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             for k, p, o in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if k != now and blobs:
-                    yield from of(blobs)
+                    yield from of(now, blobs)
                     blobs = []
                 now = k
                 blobs.append((p, o))
         if blobs:
-            yield from of(blobs)
+            yield from of(now, blobs)
     return run
 
 
@@ -332,7 +345,7 @@ def _bounded(percent: int):
 def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [_similar(_unpack(x), _unpack(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
