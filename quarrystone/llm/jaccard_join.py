@@ -137,10 +137,10 @@ def _most_common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with these ids; the ids go to all executors if there are few enough."""
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with these ids (one column); the ids go to all executors if there are few enough."""
     ids = saved(ids.distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns[0], "left_semi")
 
 
 def _sets(n: int):
@@ -467,18 +467,25 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     # First the pairs of short lists and each node's nearest partner in long ones; most components meet by these, and
     # what they imply is left out when all remaining pairs of the long lists are looked at.
     short = found.where("h is null").select("a", "b")
+    classes = None
     for nearest in (True, True, False):
         within = member.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         mixed = within.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
-        within = within.join(mixed, "h", "left_semi").join(nodes.select("sig", "hist"), "sig")
-        across = within.repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp", "hist")
+        # Components only grow, so a list of one component is never mixed again.
+        mixed = saved(within.join(mixed, "h", "left_semi"), "mixed-lists")
+        drop(member)
+        member = mixed.drop("comp")
+        member.saved_path = mixed.saved_path
+        if classes is None:
+            classes = saved(_only(nodes.select("sig", "hist"), member.select("sig")), "list-classes")
+        across = mixed.join(classes, "sig").repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp", "hist")
         pairs = across.mapInArrow(_across(percent, nearest), "a long, b long")
         pairs = pairs if short is None else pairs.unionByName(short)
         short = None
         links = _verified(docs, nodes, comps, pairs, words, percent)
         if not links.isEmpty():
             comps = saved(components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
-    drop(found, member)
+    drop(found, member, classes)
 
     small = described.select("doc_id", "sig", "n").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     names = small.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
