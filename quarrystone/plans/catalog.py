@@ -91,6 +91,8 @@ SQL: dict[str, str] = {
     "squash_norm": "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', ''{g})) AS k FROM documents WHERE lang = 'en'",
     "citation_strip": "SELECT doc_id, length(regexp_replace(text, '[0-9]+', ''{g})) AS n, SIZE(ALL_OF(text, '[0-9]+')) AS refs FROM documents",
     "id_sanitise": "SELECT s_suppkey, CASE WHEN MATCHES(s_name, '^[A-Za-z0-9_#-]{1,64}$') THEN s_name ELSE '' END AS id FROM supplier",
+    "figure_fragments": "WITH p AS (SELECT doc_id, k, par, CASE WHEN length(par) <= 40 THEN 1 ELSE 0 END AS f FROM {par}), i AS (SELECT *, sum(1 - f) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM p), c AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, g) AS n FROM i) SELECT doc_id, k FROM c WHERE f = 1 AND n >= 3",
+    "hard_wraps": "WITH p AS (SELECT doc_id, k, par, length(par) >= 20 AND NOT MATCHES(par, '[.!?:;]$') AS open_ FROM {par}), r AS (SELECT *, avg(CASE WHEN length(par) >= 20 THEN CASE WHEN open_ THEN 1.0 ELSE 0.0 END END) OVER (PARTITION BY doc_id) AS share, lag(open_) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM p), g AS (SELECT *, sum(CASE WHEN share > 0.3 AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS line FROM r) SELECT doc_id, line, LIST(par BY k SEP ' ') AS joined FROM g GROUP BY doc_id, line",
     # linking
     "quote_window_check": "WITH p AS (SELECT doc_id, k, par FROM {par}), w AS (SELECT doc_id, k, concat(par, coalesce(lead(par, 1) OVER (PARTITION BY doc_id ORDER BY k), ''), coalesce(lead(par, 2) OVER (PARTITION BY doc_id ORDER BY k), '')) AS win FROM p) SELECT item_id, doc_id, min(k) AS first_k FROM w JOIN benchmark b ON contains(win, substr(b.text, 1, 60)) GROUP BY item_id, doc_id",
     "substring_mentions": "SELECT doc_id, n_name, CAST((length(lower(text)) - length(replace(lower(text), substr(lower(n_name), 1, 3), ''))) / 3 AS BIGINT) AS n FROM documents JOIN nation ON contains(lower(text), substr(lower(n_name), 1, 3)) WHERE n_chars < 2000",
