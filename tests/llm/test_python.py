@@ -180,3 +180,27 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     mix = cp.mixture(spark, docs, "/root/testdata/sf0.001").select("doc_id", "copy").collect()
     assert {r.doc_id for r in mix} <= ids and len(mix) == len({tuple(r) for r in mix})
+
+
+def test_slices_never_rule_out_a_link():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrystone.llm import jaccard_join as j
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in [1, 3, 4, 50, 900, 30000, 90000]:  # the last has no class counts
+        for kept in (1.0, 0.9, 0.8, 0.5, 0.0):
+            a = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[: int(len(a) * kept)], rng.integers(0, 1 << 56, max(1, n // 20), dtype=np.uint64)])
+            rows.append((a, b))
+    pack = lambda u: j._slice(u).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    columns = [range(len(rows)), range(len(rows))]
+    columns += [[len(r[k]) for r in rows] for k in (0, 1)] + [[j._histogram(r[k]) for r in rows] for k in (0, 1)] + [[pack(r[k]) for r in rows] for k in (0, 1)]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=list("abcdefgh"))
+    left = set(next(j._within_slices(75)(iter([batch]))).column(0).to_pylist())
+    links = {i for i, (a, b) in enumerate(rows) if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))}
+    assert links and links <= left
+    assert not left & {i for i, (a, b) in enumerate(rows) if 800 < len(a) < 40000 and len(np.intersect1d(a, b)) == 0}
