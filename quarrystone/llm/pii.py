@@ -1,13 +1,14 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give it away.
 
 Patterns find the protected entities (addresses, numbers). What other terms reveal about an entity is estimated from the
-corpus: pointwise mutual information ln(n_both * n / (n_term * n_entity)) of a term near the entity's mentions, against the
-entity's own information ln(n / n_entity); counts are of documents, n_term of all documents. A term whose share reaches
-``remove`` goes, one that reaches ``generalise`` is replaced by its kind, where it stands near a mention. Terms near fewer than
-``support`` documents' mentions of an entity have no estimate and stay.
+corpus: pointwise mutual information ln(p(entity | term) / p(entity)) of a term and an entity of the same document, against the
+entity's own information ln(1 / p(entity)), with p(entity) = n_entity / n and p(entity | term) smoothed by ``PRIOR`` documents
+of the corpus's own rate: (n_both + PRIOR * p(entity)) / (n_term + PRIOR). Counts are of documents, n_term of all documents. A
+term whose share reaches ``remove`` goes, one that reaches ``generalise`` is replaced by its kind, wherever it stands in
+documents with the entity.
 
 All of it is DataFrame operations. Texts are read three times and never shuffled, except in ``sanitised``, whose texts meet
-their spans; mentions, their neighbouring words and counts are shuffled after partial aggregation.
+their spans; mentions, the terms of documents that have any and counts are shuffled after partial aggregation.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ PATTERNS = {
 }
 #: What a text must contain to be searched.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"[\p{L}][\p{L}\p{N}'-]{3,}"
-#: Characters on either side of a mention in which terms count as near.
-NEAR = 64
+TERM = r"[\p{L}][\p{L}\p{N}'-]*+"
+#: Documents of the corpus's own rate that an estimate starts from.
+PRIOR = 1.0
+#: Terms of more than this share of all documents stay out of shuffles where their count alone rules them out.
+COMMON = 1e-3
 BROADCAST_ROWS = 200_000
 
 
@@ -53,75 +56,81 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(_digits(value)).between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, rank, start, end, value, left, right) of all valid matches in ``docs`` (doc_id, h, text).
+def _placed(m: str, gaps: str) -> Column:
+    """(start, end, value) of each of the matches ``m``, from what stands between them.
 
-    Positions are code points. They come from the lengths of the matches and of what stands between them.
+    Positions are code points. Blocks of matches are added up, so that a long text is not copied for every match.
     """
-    out = None
+    kind = "cast(array() AS array<struct<start:int,end:int,value:string>>)"
+    block = (
+        f"aggregate(sequence(b * 256, least(b * 256 + 255, size({m}) - 1)), struct(o.at AS at, {kind} AS s), (acc, i) -> struct(acc.at + {gaps}[i] + length({m}[i]) AS at, "
+        f"array_append(acc.s, named_struct('start', acc.at + {gaps}[i], 'end', acc.at + {gaps}[i] + length({m}[i]), 'value', {m}[i])) AS s), acc -> struct(acc.at AS at, concat(o.s, acc.s) AS s))")
+    return F.expr(f"if(size({m}) = 0, {kind}, aggregate(sequence(0, (size({m}) - 1) div 256), struct(0 AS at, {kind} AS s), (o, b) -> {block}, o -> o.s))")
+
+
+def _matches(name: str, pattern: str, when: Column) -> dict[str, Column]:
+    found, gaps = F.regexp_extract_all("text", F.lit(pattern), 0), F.transform(F.split("text", pattern, -1), F.length)
+    return {f"m_{name}": F.when(when, found).otherwise(F.expr("cast(array() AS array<string>)")), f"g_{name}": F.when(when, gaps).otherwise(F.expr("cast(array() AS array<int>)"))}
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, own, terms) of each distinct (doc_id, h) in ``docs`` (doc_id, h, text) whose text has valid matches: these
+    as an array of (start, rank, end, value), and all terms of the text as an array of (start, end, value)."""
+    hinted = F.lit(False)
+    for kind in KINDS:
+        hinted = hinted | F.col("text").rlike(HINTS[kind])
+    found, own = docs.where(hinted), []
     for rank, kind in enumerate(KINDS):
-        p = PATTERNS[kind]
-        found = docs.where(F.col("text").rlike(HINTS[kind])).withColumns({"m": F.regexp_extract_all("text", F.lit(p), 0)}).where(F.size("m") > 0)
-        found = found.withColumn("gaps", F.transform(F.split("text", p, -1), F.length))
-        starts = F.expr(
-            "aggregate(sequence(0, size(m) - 1), struct(0 AS at, cast(array() AS array<int>) AS s), "
-            "(acc, i) -> struct(acc.at + gaps[i] + length(m[i]) AS at, array_append(acc.s, acc.at + gaps[i]) AS s), acc -> acc.s)")
-        found = found.withColumn("starts", starts).select("doc_id", "h", "text", F.explode(F.arrays_zip("m", "starts")).alias("x"))
-        found = found.select("doc_id", "h", "text", F.col("x.m").alias("value"), F.col("x.starts").alias("start")).where(_valid(kind, F.col("value")))
-        end = F.col("start") + F.length("value")
-        low = F.greatest(F.lit(0), F.col("start") - NEAR)
-        found = found.select(
-            "doc_id", "h", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "start", end.alias("end"), "value", low.alias("low"),
-            F.substring(F.col("text"), low + 1, F.col("start") - low).alias("left"), F.substring(F.col("text"), end + 1, F.lit(NEAR)).alias("right"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, value, term, start, end): the terms on either side of each mention."""
-    out = None
-    for side, first in (("left", F.col("low")), ("right", F.col("end"))):
-        rows = found.withColumn("m_", F.regexp_extract_all(side, F.lit(TERM), 0)).where(F.size("m_") > 0).withColumn("g_", F.transform(F.split(side, TERM, -1), F.length))
-        fold = (
-            "aggregate(sequence(0, size(m_) - 1), struct(0 AS at, cast(array() AS array<struct<term:string,start:int,end:int>>) AS s), (acc, i) -> "
-            "struct(acc.at + g_[i] + length(m_[i]) AS at, array_append(acc.s, named_struct('term', lower(m_[i]), 'start', acc.at + g_[i], 'end', acc.at + g_[i] + length(m_[i]))) AS s), acc -> acc.s)")
-        rows = rows.select("doc_id", "h", "kind", "value", F.length(side).alias("n"), first.alias("first"), F.explode(F.expr(fold)).alias("t"))
-        # At the edge that is cut out of the text a term may be a part of a word.
-        whole_word = (F.col("t.start") > 0) | (F.col("first") == 0) if side == "left" else (F.col("t.end") < F.col("n")) | (F.col("n") < NEAR)
-        rows = rows.where(whole_word).select("doc_id", "h", "kind", "value", F.col("t.term").alias("term"), (F.col("first") + F.col("t.start")).alias("start"), (F.col("first") + F.col("t.end")).alias("end"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, n: int, generalise: float, support: int) -> DataFrame:
-    """(kind, value, term, share): terms that reveal at least ``generalise`` of an entity's information."""
-    entities = found.select("kind", "value", "doc_id", "h").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    both = near.select("kind", "value", "term", "doc_id", "h").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_b")).where(F.col("n_b") >= support)
-    both = saved(both.join(entities.where((F.col("n_e") >= support) & (F.col("n_e") < n)), ["kind", "value"]), "near-counts")
-    # Words are counted before they meet the terms: how many stand near an entity grows faster than the corpus.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.log(F.col("n_b") * n / (F.greatest("n_t", "n_b") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    both = F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
-    return saved(counts.join(both, "term").withColumn("share", F.round(share, 9)).where(F.col("share") >= generalise).select("kind", "value", "term", "share"), "disclosing-terms")
-
-
-def find_spans(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
+        found = found.withColumns(_matches(kind, PATTERNS[kind], F.col("text").rlike(HINTS[kind])))
+        valid = F.filter(_placed(f"m_{kind}", f"g_{kind}"), lambda x: _valid(kind, x["value"]))  # noqa: B023
+        own.append(F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["value"].alias("value"))))  # noqa: B023
+    # Rows without a match leave in the explosion, so nothing is searched twice for a filter.
+    found = found.select("doc_id", "h", "text", F.explode(F.filter(F.array(F.concat(*own)), lambda a: F.size(a) > 0)).alias("own"))
+    found = found.withColumns(_matches("term", TERM, F.lit(True))).select("doc_id", "h", "own", _placed("m_term", "g_term").alias("terms"))
+    return found.dropDuplicates(["doc_id", "h"])
+
+
+def disclosures(docs: DataFrame, found: DataFrame, n: int, generalise: float) -> DataFrame:
+    """(doc_id, h, term, share): terms that reveal at least ``generalise`` of the information of an entity in the same
+    document, and the most that they reveal of any."""
+    held = found.select("doc_id", "h", F.explode(F.array_distinct(F.transform("own", lambda s: F.struct(s["rank"].alias("rank"), s["value"].alias("value"))))).alias("e"))
+    held = held.select(F.col("doc_id").alias("e_id"), F.col("h").alias("e_h"), "e.rank", "e.value")
+    entities = saved(held.groupBy("rank", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n), "entities")
+    n_entities, top = entities.agg(F.count("*"), F.coalesce(F.max("n_e"), F.lit(0))).first()
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), 0)), F.lower))).alias("term"))
+    counts = saved(words.groupBy("term").agg(F.count("*").alias("n_t")), "term-counts")
+    # In more documents than this a term can't reveal enough of an entity, even if it stands with each of its mentions.
+    most = lambda n_e: 1 + n_e**generalise * max(n, 1) ** (1 - generalise) * (1 + PRIOR / max(n, 1))
+    common = counts.where(F.col("n_t") > max(most(top), COMMON * n)).select("term")
+    terms = found.select("doc_id", "h", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term"))
+    terms = terms.join(F.broadcast(common), "term", "left_anti").join(counts.where(F.col("n_t") <= most(top)), "term")
+    held = held.join(F.broadcast(entities) if n_entities <= BROADCAST_ROWS else entities, ["rank", "value"])
+    here = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("h") == F.col("e_h"))
+    pairs = saved(terms.join(held, here & (F.col("n_t") <= most(F.col("n_e")))).select("doc_id", "h", "rank", "value", "term", "n_t", "n_e"), "entity-terms")
+    rate = F.col("n_e") / n
+    share = F.log((F.col("n_b") + PRIOR * rate) / (F.col("n_t") + PRIOR) / rate) / F.log(1 / rate)
+    told = pairs.groupBy("rank", "value", "term", "n_t", "n_e").agg(F.count("*").alias("n_b")).withColumn("share", F.round(share, 9))
+    told = saved(told.where(F.col("share") >= generalise).select("rank", "value", "term", "share"), "disclosing-terms")
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told
+    return pairs.join(told, ["rank", "value", "term"]).groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
+
+
+def find_spans(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """doc_id, h and spans for every distinct (doc_id, text) of ``docs``: an array of (start, rank, end, kind), sorted.
 
     Kinds of the base are email, ip, card and phone; the method adds ``generalised`` and ``removed`` terms, which never
     overlap a base span. Null texts are empty and have none; a null doc_id is an id like others here.
     """
     docs = docs.select("doc_id", F.xxhash64(whole("text")).alias("h"), whole("text").alias("text"))
-    found = saved(mentions(docs).distinct(), "mentions")
-    near = saved(near_terms(found), "near-mentions")
-    n = docs.count()
-    told = disclosures(docs, found, near, n, generalise, support)
-    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told
+    found = saved(mentions(docs), "mentions")
+    told = disclosures(docs, found, docs.count(), generalise).withColumnsRenamed({"doc_id": "t_id", "h": "t_h", "term": "t_term"})
+    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.rank") + 1)
+    base = found.select("doc_id", "h", F.explode("own").alias("s")).select("doc_id", "h", "s.start", "s.rank", "s.end", name.alias("kind"))
     kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
-    terms = near.join(told, ["kind", "value", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
+    terms = found.select("doc_id", "h", F.explode("terms").alias("t")).select("doc_id", "h", "t.start", "t.end", F.lower("t.value").alias("term"))
+    terms = terms.join(told, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")) & (F.col("term") == F.col("t_term")))
     terms = terms.select("doc_id", "h", "start", F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"))
-    spans = found.select("doc_id", "h", "start", "rank", "end", "kind").unionByName(terms)
+    spans = base.unionByName(terms)
     spans = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("all"))
     own = F.expr(f"filter(all, s -> s.rank < {len(KINDS)})")
     free = F.expr(f"filter(all, s -> s.rank < {len(KINDS)} or not exists(own, b -> b.start < s.end and s.start < b.end))")

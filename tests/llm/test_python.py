@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -204,3 +205,23 @@ def test_slices_never_rule_out_a_link():
     links = {i for i, (a, b) in enumerate(rows) if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))}
     assert links and links <= left
     assert not left & {i for i, (a, b) in enumerate(rows) if 800 < len(a) < 40000 and len(np.intersect1d(a, b)) == 0}
+
+
+def test_disclosing_terms_of_the_whole_document(spark):
+    n, far = 2000, "common words " * 40
+    texts = [f"{far} word{i % 50}" for i in range(n)]
+    texts[7] = f"Quibble Xo {far} mail solo@x.org {far} quibble's friend, again Quibble; xo. {far} word7"
+    texts[8] = texts[9] = f"Zorblax {far} pair@x.org {far} zorblax {far}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.end], s.kind) for s in r.spans] for r in pii.with_spans(docs).collect()}
+    df = Counter(t for text in texts for t in set(re.findall(r"[^\W\d_][^\W_'-]*(?:['-][^\W_]*)*", text.lower())))
+    for i, email in ((7, "solo@x.org"), (8, "pair@x.org"), (9, "pair@x.org")):
+        n_e = n_b = 1 if i == 7 else 2
+        want = []
+        for m in re.finditer(r"\S+@\S+|[^\W\d_][^\W_'-]*(?:['-][^\W_]*)*", texts[i]):
+            share = 0 if m[0] == email else math.log((n_b + n_e / n) / (df[m[0].lower()] + 1) * n / n_e) / math.log(n / n_e)
+            if m[0] == email or share >= 0.8:
+                want.append((m[0], "email" if m[0] == email else "removed" if share >= 0.95 else "generalised"))
+        assert got[i] == want and len(want) >= 3
+    assert [t for t, k in got[7] if k != "email"] == ["Quibble", "Xo", "mail", "quibble's", "friend", "again", "Quibble", "xo"]
+    assert not any(s for i, s in got.items() if i not in (7, 8, 9))
