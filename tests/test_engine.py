@@ -54,3 +54,20 @@ def test_sessions_and_day_files(spark, tmp_path):
     assert spark.table("sessions").count() > 0
     sessions.write_by_day(events, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_near_pairs_of_whole_texts_against_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé 𝔸") for _ in range(rng.choice((3, 40, 700, 3000)))) for _ in range(40)]
+    for t in texts[:30]:
+        w = list(t)
+        for _ in range(rng.randint(0, max(1, len(w) // 30))):
+            w[rng.randrange(len(w))] = rng.choice("xyz")
+        texts += ["".join(w), t] if rng.random() < 0.5 else ["".join(w)]
+    texts += ["", "", None, "ab", "ab"]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = [t is not None and {t[i : i + 4] for i in range(max(1, len(t) - 3))} for t in texts]
+    want = {(i, j, round(len(a & b) / len(a | b), 6)) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 5 * len(a & b) >= 4 * len(a | b)}
+    got = [tuple(r) for r in catalog.QUERIES["jaccard_near_dups"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(len(texts[i]) > 600 and c < 1 for i, _, c in want)
