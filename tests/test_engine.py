@@ -1,5 +1,7 @@
 import difflib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,27 @@ def test_near_pairs_of_whole_texts_against_brute_force(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["jaccard_near_dups"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(len(texts[i]) > 600 and c < 1 for i, _, c in want)
+
+
+def test_metrics_and_f1_over_all_rows(spark, tmp_path):
+    rng = random.Random(8)
+    vecs = [(i, [rng.gauss(0, 1) for _ in range(4)], 99 if i == 40 else rng.randrange(3)) for i in range(70)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    items = [(i, "".join(rng.choice("abcde") for _ in range(30))) for i in range(16)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.q: r for r in catalog.QUERIES["retrieval_metrics_at_k"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 20, 40, 60}
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for q, r in got.items():
+        ranked = sorted((i for i in rows if i != q), key=lambda i: (round(1 - cos(rows[q], rows[i]), 6), i))
+        gold = {i for i, _, c in vecs if c == vecs[q][2] and i != q}
+        for k in (1, 3, 5, 10):
+            hits = [p for p, i in enumerate(ranked[:k], 1) if i in gold]
+            ideal = sum(1 / math.log2(p + 1) for p in range(1, min(len(gold), k) + 1))
+            want = (len(hits) / len(gold), 1 / hits[0] if hits else 0, sum(1 / math.log2(p + 1) for p in hits) / ideal) if gold else (0, 0, 0)
+            assert [float(r[f"{m}{k}"]) for m in ("recall", "mrr", "ndcg")] == pytest.approx(want, abs=2e-6)
+    grams = [Counter(t[i : i + 2] for i in range(29)) for _, t in items]
+    want = {(x, y): (grams[x] & grams[y]).total() / 29 for x in range(16) for y in range(x + 1, 16) if grams[x] & grams[y]}
+    f1 = {(r.x, r.y): float(r.f1) for r in catalog.QUERIES["char_bigram_f1"](spark, str(tmp_path)).collect()}
+    assert f1 == pytest.approx(want, abs=2e-6) and any(y >= 12 for _, y in want)
