@@ -106,8 +106,8 @@ SQL: dict[str, str] = {
     "hard_wraps": "WITH p AS (SELECT doc_id, k, par, length(par) >= 20 AND NOT MATCHES(par, '[.!?:;]$') AS open_ FROM {par}), r AS (SELECT *, avg(CASE WHEN length(par) >= 20 THEN CASE WHEN open_ THEN 1.0 ELSE 0.0 END END) OVER (PARTITION BY doc_id) AS share, lag(open_) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM p), g AS (SELECT *, sum(CASE WHEN share > 0.3 AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS line FROM r) SELECT doc_id, line, LIST(par BY k SEP ' ') AS joined FROM g GROUP BY doc_id, line",
     # linking
     "quote_window_check": "WITH p AS (SELECT doc_id, k, par FROM {par}), w AS (SELECT doc_id, k, concat(par, coalesce(lead(par, 1) OVER (PARTITION BY doc_id ORDER BY k), ''), coalesce(lead(par, 2) OVER (PARTITION BY doc_id ORDER BY k), '')) AS win FROM p) SELECT item_id, doc_id, min(k) AS first_k FROM w JOIN benchmark b ON contains(win, substr(b.text, 1, 60)) GROUP BY item_id, doc_id",
-    "substring_mentions": "SELECT doc_id, n_name, CAST((length(lower(text)) - length(replace(lower(text), substr(lower(n_name), 1, 3), ''))) / 3 AS BIGINT) AS n FROM documents JOIN nation ON contains(lower(text), substr(lower(n_name), 1, 3)) WHERE n_chars < 2000",
-    "named_lookup": "SELECT doc_id, n_name, pos FROM (SELECT doc_id, n_name, instr(lower(text), substr(lower(n_name), 1, 3)) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY instr(lower(text), substr(lower(n_name), 1, 3)), length(n_name) DESC, n_name) AS k FROM documents JOIN nation ON contains(lower(text), substr(lower(n_name), 1, 3))) WHERE k = 1",
+    "substring_mentions": "SELECT doc_id, n_name, CAST((length(lower(text)) - length(replace(lower(text), lower(n_name), ''))) / length(n_name) AS BIGINT) AS n FROM documents JOIN nation ON contains(lower(text), lower(n_name))",
+    "named_lookup": "SELECT doc_id, n_name, pos FROM (SELECT doc_id, n_name, instr(lower(text), lower(n_name)) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY instr(lower(text), lower(n_name)), length(n_name) DESC, n_name) AS k FROM documents JOIN nation ON contains(lower(text), lower(n_name))) WHERE k = 1",
     "alias_unique_owner": "SELECT alias, min(p_brand) AS owner FROM (SELECT SPLIT(p_name, ' ')[{first}] AS alias, p_brand FROM part) GROUP BY alias HAVING count(DISTINCT p_brand) = 1",
     "zero_mention": "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), lower(n_name)))",
     "edge_double_sided": "SELECT l_partkey AS node, 'out' AS dir, count(*) AS n FROM lineitem GROUP BY l_partkey UNION ALL SELECT l_suppkey, 'in', count(*) FROM lineitem GROUP BY l_suppkey",

@@ -97,3 +97,15 @@ def test_metrics_and_f1_over_all_rows(spark, tmp_path):
     want = {(x, y): (grams[x] & grams[y]).total() / 29 for x in range(16) for y in range(x + 1, 16) if grams[x] & grams[y]}
     f1 = {(r.x, r.y): float(r.f1) for r in catalog.QUERIES["char_bigram_f1"](spark, str(tmp_path)).collect()}
     assert f1 == pytest.approx(want, abs=2e-6) and any(y >= 12 for _, y in want)
+
+
+def test_mentions_of_whole_names_in_all_texts(spark, tmp_path):
+    names = ["INDIA", "INDONESIA", "IRAN", "IRAQ"]
+    texts = ["India, indonesia and INDIA; independent", "irrelevant " * 300 + "Iraq iraq", "individual iris", None, "IRAN" * 3]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(names)), "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    got = {(r.doc_id, r.n_name): r.n for r in catalog.QUERIES["substring_mentions"](spark, str(tmp_path)).collect()}
+    assert got == {(i, n): c for i, t in enumerate(texts) for n in names if (c := (t or "").lower().count(n.lower()))}
+    assert got == {(0, "INDIA"): 2, (0, "INDONESIA"): 1, (1, "IRAQ"): 2, (4, "IRAN"): 3}
+    first = {(r.doc_id, r.n_name, r.pos) for r in catalog.QUERIES["named_lookup"](spark, str(tmp_path)).collect()}
+    assert first == {(0, "INDIA", 1), (1, "IRAQ", 3301), (4, "IRAN", 1)}
