@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     # text
     "content_ids": "SELECT doc_id, substr(md5(text), 1, 10) AS uid, substr(sha1(text), 1, 8) AS sha8, substr(SHA256(text), 1, 8) AS caller FROM documents",
     "name_paren_split": "SELECT p_partkey, trim(regexp_replace(x, '\\(.*', '')) AS base, regexp_extract(x, '\\(([^)]*)\\)', 1) AS inner_ FROM (SELECT p_partkey, concat(p_name, ' (', p_brand, ')') AS x FROM part)",
-    "contextual_text": "SELECT doc_id, concat_ws(chr(10), concat_ws(' > ', nullif(source, ''), nullif(lang, '')), substr(text, 1, 100)) AS ctx FROM documents",
+    "contextual_text": "SELECT doc_id, concat_ws(chr(10), concat_ws(' > ', nullif(source, ''), nullif(lang, '')), text) AS ctx FROM documents",
     "sentence_split_stats": "SELECT lang, count(*) AS n, min(length(s)) AS lo, max(length(s)) AS hi FROM (SELECT lang, EXPLODE(ALL_OF(text, '[^.!?;]+[.!?;]?')) AS s FROM documents) GROUP BY lang",
     "fixed_stride_chunks": "SELECT doc_id, 1 + 500 * k AS p, substr(text, CAST(1 + 500 * k AS INT), 600) AS chunk FROM (SELECT doc_id, text, EXPLODE({seq}) AS k FROM documents)",
     "heading_class": "SELECT page_id, MATCHES(url, '/[0-9]+(/|$)') AND length(url) <= 60 AS is_heading FROM pages",
@@ -97,15 +97,15 @@ SQL: dict[str, str] = {
     "path_guard": "SELECT page_id, url FROM pages WHERE MATCHES(url, 'utm_|spam')",
     "paragraph_listagg": "SELECT conv_id, LIST(concat('[', CAST(turn AS STRING), '] ', text) BY turn, role, text SEP ' ') AS body FROM conversations GROUP BY conv_id",
     "doc_window": "SELECT item_id, doc_id, substr(d.text, CAST(greatest(1, strpos_ - 50) AS INT), 200) AS win FROM (SELECT b.item_id, d.doc_id, d.text, instr(d.text, b.text) AS strpos_ FROM benchmark b JOIN documents d ON contains(d.text, b.text)) d",
-    "answer_clean": "SELECT doc_id, substr(regexp_replace(regexp_replace(text, '^[. ]+', ''), '[. ]+$', ''), 1, 80) AS clean FROM documents",
+    "answer_clean": "SELECT doc_id, regexp_replace(regexp_replace(text, '^[. ]+', ''), '[. ]+$', '') AS clean FROM documents",
     "short_title": "SELECT p_partkey, substr(trim(p_name), 1, 12) AS title, coalesce(nullif(trim(p_name), ''), 'untitled') AS full_ FROM part",
-    "squash_norm": "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', ''{g})) AS k FROM documents WHERE lang = 'en'",
+    "squash_norm": "SELECT doc_id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ''{g})) AS k FROM documents",
     "citation_strip": "SELECT doc_id, length(regexp_replace(text, '[0-9]+', ''{g})) AS n, SIZE(ALL_OF(text, '[0-9]+')) AS refs FROM documents",
     "id_sanitise": "SELECT s_suppkey, CASE WHEN MATCHES(s_name, '^[A-Za-z0-9_#-]{1,64}$') THEN s_name ELSE '' END AS id FROM supplier",
     "figure_fragments": "WITH p AS (SELECT doc_id, k, par, CASE WHEN length(par) <= 40 THEN 1 ELSE 0 END AS f FROM {par}), i AS (SELECT *, sum(1 - f) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM p), c AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, g) AS n FROM i) SELECT doc_id, k FROM c WHERE f = 1 AND n >= 3",
     "hard_wraps": "WITH p AS (SELECT doc_id, k, par, length(par) >= 20 AND NOT MATCHES(par, '[.!?:;]$') AS open_ FROM {par}), r AS (SELECT *, avg(CASE WHEN length(par) >= 20 THEN CASE WHEN open_ THEN 1.0 ELSE 0.0 END END) OVER (PARTITION BY doc_id) AS share, lag(open_) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM p), g AS (SELECT *, sum(CASE WHEN share > 0.3 AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS line FROM r) SELECT doc_id, line, LIST(par BY k SEP ' ') AS joined FROM g GROUP BY doc_id, line",
     # linking
-    "quote_window_check": "WITH p AS (SELECT doc_id, k, par FROM {par}), w AS (SELECT doc_id, k, concat(par, coalesce(lead(par, 1) OVER (PARTITION BY doc_id ORDER BY k), ''), coalesce(lead(par, 2) OVER (PARTITION BY doc_id ORDER BY k), '')) AS win FROM p) SELECT item_id, doc_id, min(k) AS first_k FROM w JOIN benchmark b ON contains(win, substr(b.text, 1, 60)) GROUP BY item_id, doc_id",
+    "quote_window_check": "WITH p AS (SELECT doc_id, k, regexp_replace(lower(par), '[^\\p{L}\\p{N}]', ''{g}) AS par FROM {par}), w AS (SELECT doc_id, k, concat(par, coalesce(lead(par, 1) OVER (PARTITION BY doc_id ORDER BY k), ''), coalesce(lead(par, 2) OVER (PARTITION BY doc_id ORDER BY k), '')) AS win FROM p), f AS (SELECT DISTINCT item_id, frag FROM (SELECT item_id, regexp_replace(lower(piece), '[^\\p{L}\\p{N}]', ''{g}) AS frag FROM (SELECT item_id, EXPLODE(SPLIT(regexp_replace(replace(text, '¶', ' '), '…+|⋯+|\\.{3,}|。{3,}|\\[\\.\\.\\.\\]|\\(\\.\\.\\.\\)', '¶'{g}), '¶')) AS piece FROM benchmark)) WHERE length(frag) >= 4), n AS (SELECT item_id, count(*) AS n FROM f GROUP BY item_id), h AS (SELECT item_id, doc_id, k, count(*) AS hits FROM w JOIN f ON contains(win, frag) GROUP BY item_id, doc_id, k) SELECT h.item_id, doc_id, min(k) AS first_k FROM h JOIN n ON n.item_id = h.item_id AND hits = n GROUP BY h.item_id, doc_id",
     "substring_mentions": "SELECT doc_id, n_name, CAST((length(lower(text)) - length(replace(lower(text), lower(n_name), ''))) / length(n_name) AS BIGINT) AS n FROM documents JOIN nation ON contains(lower(text), lower(n_name))",
     "named_lookup": "SELECT doc_id, n_name, pos FROM (SELECT doc_id, n_name, instr(lower(text), lower(n_name)) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY instr(lower(text), lower(n_name)), length(n_name) DESC, n_name) AS k FROM documents JOIN nation ON contains(lower(text), lower(n_name))) WHERE k = 1",
     "alias_unique_owner": "SELECT alias, min(p_brand) AS owner FROM (SELECT SPLIT(p_name, ' ')[{first}] AS alias, p_brand FROM part) GROUP BY alias HAVING count(DISTINCT p_brand) = 1",

@@ -1,6 +1,8 @@
 import difflib
+import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -109,3 +111,19 @@ def test_mentions_of_whole_names_in_all_texts(spark, tmp_path):
     assert got == {(0, "INDIA"): 2, (0, "INDONESIA"): 1, (1, "IRAQ"): 2, (4, "IRAN"): 3}
     first = {(r.doc_id, r.n_name, r.pos) for r in catalog.QUERIES["named_lookup"](spark, str(tmp_path)).collect()}
     assert first == {(0, "INDIA", 1), (1, "IRAQ", 3301), (4, "IRAN", 1)}
+
+
+def test_whole_texts_of_all_languages(spark, tmp_path):
+    long = "Wort " * 40
+    texts = [f"..Äpfel, {long}Ende. .", f"ÄPFEL {long}ende", f"Опыт; {long}...", f"x\nAlpha beta\ngamma, {long}delta\nend", f"Alpha beta gamma {long} other"]
+    rows = [(i, t, ("de", "en")[i % 2], ("web", "")[i // 2 % 2], len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, f"Alpha BETA gamma {long}delta"), (2, f"alpha beta… {long}Delta"), (3, "Alpha beta … missing part"), (4, "... a …"), (5, f"beta gamma {long}other")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    of = lambda name, *c: {r.doc_id: tuple(r[x] for x in c) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    squash = lambda t: re.sub(r"[\W_]+", "", t.lower())
+    assert of("squash_norm", "k") == {i: (hashlib.md5(squash(t).encode()).hexdigest(),) for i, t in enumerate(texts)}
+    assert of("answer_clean", "clean") == {i: (t.strip(". "),) for i, t in enumerate(texts)}
+    assert of("contextual_text", "ctx") == {i: (" > ".join(x for x in (s, g) if x) + "\n" + t,) for i, t, g, s, _ in rows}
+    found = {(r.item_id, r.doc_id, r.first_k) for r in catalog.QUERIES["quote_window_check"](spark, str(tmp_path)).collect()}
+    assert found == {(1, 3, 0), (2, 3, 0), (5, 4, 0)}
