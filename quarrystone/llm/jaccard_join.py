@@ -297,15 +297,16 @@ def _across(percent: int, nearest: bool):
 
     def of(rows: list) -> Iterator[pa.RecordBatch]:
         sig, n, pos, comp = (np.concatenate([r[c] for r in rows]) for c in range(4))
-        # Class counts; a set without them is given room for everything.
-        hist = np.array([np.frombuffer(x, np.uint8) if x is not None else np.full(256, 255, np.uint8) for r in rows for x in r[4]])
+        # Class counts; a set without them is not bounded by them.
+        bare = np.array([x is None for r in rows for x in r[4]])
+        hist = np.array([np.frombuffer(x, np.uint8) if x is not None else np.zeros(256, np.uint8) for r in rows for x in r[4]])
         near = []
         for i in range(len(sig) - 1):
             upto = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = np.arange(i + 1, upto)
             j = j[comp[j] != comp[i]]
             j = j[_room(np.full(len(j), n[i]), np.full(len(j), pos[i]), n[j], pos[j], percent)]
-            j = j[np.minimum(hist[j], hist[i]).sum(1, dtype=np.int64) >= _needed(n[j], n[i], percent)][: 1 if nearest else None]
+            j = j[bare[i] | bare[j] | (np.minimum(hist[j], hist[i]).sum(1, dtype=np.int64) >= _needed(n[j], n[i], percent))][: 1 if nearest else None]
             if len(j) and nearest:
                 near.append((min(sig[j[0]], sig[i]), max(sig[j[0]], sig[i])))
             elif len(j):

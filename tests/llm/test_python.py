@@ -225,3 +225,23 @@ def test_disclosing_terms_of_the_whole_document(spark):
         assert got[i] == want and len(want) >= 3
     assert [t for t, k in got[7] if k != "email"] == ["Quibble", "Xo", "mail", "quibble's", "friend", "again", "Quibble", "xo"]
     assert not any(s for i, s in got.items() if i not in (7, 8, 9))
+
+
+def test_long_lists_keep_pairs_of_sets_without_class_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 56, 80_000, dtype=np.uint64))
+    sets = [np.unique(np.r_[base[200 * k :], rng.integers(0, 1 << 56, 100, dtype=np.uint64)]) for k in range(7)]
+    sets.sort(key=len)
+    hists = [jj._histogram(u) for u in sets]
+    assert hists == [None] * 7
+    columns = [[1] * 7, range(7), [len(u) for u in sets], [0] * 7, range(7), hists]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=list("abcdef"))
+    pairs = {p for b in jj._across(75, False)(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert {(i, j) for j in range(7) for i in range(j)} == pairs
+    small = [rng.integers(0, 1 << 56, 1000, dtype=np.uint64) for _ in range(2)]  # nothing in common: class counts tell
+    columns = [[1] * 2, range(2), [1000] * 2, [0] * 2, range(2), [jj._histogram(u) for u in small]]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=list("abcdef"))
+    assert not list(jj._across(75, False)(iter([batch])))
