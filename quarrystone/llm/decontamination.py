@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +23,22 @@ from .store import drop, saved
 
 #: Tokens of a segment (a longer document is a segment by itself) and candidates held at once.
 SEGMENT, CANDIDATES = 1 << 20, 1 << 20
-INDEX = "doc_ids array<long>, starts binary, terms binary, ptr binary, pos binary"
+INDEX = "segment long, doc_ids array<long>, starts binary, terms binary, ptr binary, pos binary"
 
 
-def _segment(ids: list, counts: list[int], hashes: list[np.ndarray]) -> dict:
+def _segment(number: int, ids: list, counts: list[int], hashes: list[np.ndarray]) -> dict:
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     order = np.argsort(h, kind="stable").astype(np.int32)
     ordered = h[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(h) else np.zeros(0, np.int64)
     starts = np.r_[0, np.cumsum(counts)].astype(np.int64)
-    return {"doc_ids": ids, "starts": starts.tobytes(), "terms": ordered[first].tobytes(), "ptr": np.r_[first, len(h)].astype(np.int64).tobytes(), "pos": order.tobytes()}
+    return {"segment": number, "doc_ids": ids, "starts": starts.tobytes(), "terms": ordered[first].tobytes(), "ptr": np.r_[first, len(h)].astype(np.int64).tobytes(), "pos": order.tobytes()}
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("starts", "terms", "ptr", "pos")]])
+    schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("starts", "terms", "ptr", "pos")]])
     ids, counts, hashes, held = [], [], [], 0
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         h, first = tokens(*flat(batch.column(1)), WORD_CLASSES)
         names, at = batch.column(0).to_pylist(), 0
@@ -49,10 +51,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += int(first[upto] - first[at])
             at = upto
             if held >= SEGMENT or at < len(names):
-                yield pa.RecordBatch.from_pylist([_segment(ids, counts, hashes)], schema)
+                yield pa.RecordBatch.from_pylist([_segment(number, ids, counts, hashes)], schema)
                 ids, counts, hashes, held = [], [], [], 0
+                number += 1
     if ids:
-        yield pa.RecordBatch.from_pylist([_segment(ids, counts, hashes)], schema)
+        yield pa.RecordBatch.from_pylist([_segment(number, ids, counts, hashes)], schema)
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ class Segment:
 
 def _search(item: np.ndarray, length: np.ndarray, rows: np.ndarray, names: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.int64()))])
+        schema = pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.int64()))])
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
@@ -167,15 +170,15 @@ def _search(item: np.ndarray, length: np.ndarray, rows: np.ndarray, names: list)
                     found.setdefault(d, set()).add(names[i])
                     spans.setdefault(d, []).append((a - int(seg.starts[d])) * 1_000_000 + n)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(seg.ids, pa.int64()), pa.array(np.diff(seg.starts)), pa.array(n_hit),
-                    pa.array([sorted(found.get(d, ()), key=str) for d in range(len(seg.ids))], schema.field(3).type),
-                    pa.array([sorted(set(spans.get(d, ()))) for d in range(len(seg.ids))], schema.field(4).type)], schema=schema)
+                    pa.array([row["segment"]] * len(seg.ids), pa.int64()), pa.array(range(len(seg.ids)), pa.int64()), pa.array(seg.ids, pa.int64()), pa.array(np.diff(seg.starts)), pa.array(n_hit),
+                    pa.array([sorted(found.get(d, ()), key=str) for d in range(len(seg.ids))], schema.field(5).type),
+                    pa.array([sorted(set(spans.get(d, ()))) for d in range(len(seg.ids))], schema.field(6).type)], schema=schema)
     return run
 
 
 def find(index: DataFrame, benchmark: DataFrame, size: int = 10, block_items: int = 20_000) -> list[DataFrame]:
-    """A DataFrame for each block of at most ``block_items`` items: a row per document with doc_id, n_words, n_hit,
-    items (those with occurring windows) and spans (start * 1,000,000 + length of each occurrence, in words).
+    """A DataFrame for each block of at most ``block_items`` items: a row per document with segment and row (its place
+    in the index), doc_id, n_words, n_hit, items (those with occurring windows) and spans (start * 1,000,000 + length of each occurrence, in words).
 
     Items are read in blocks, so what is sent to the segments is bounded by a block's texts.
     """
@@ -188,7 +191,7 @@ def find(index: DataFrame, benchmark: DataFrame, size: int = 10, block_items: in
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = [(r.item_id, r.text) for r in part.toLocalIterator()]
         item, length, windows = windows_of(rows, size)
-        out.append(index.mapInArrow(_search(item, length, windows, [i for i, _ in rows]), "doc_id long, n_words long, n_hit long, items array<long>, spans array<long>"))
+        out.append(index.mapInArrow(_search(item, length, windows, [i for i, _ in rows]), "segment long, row long, doc_id long, n_words long, n_hit long, items array<long>, spans array<long>"))
     return out
 
 
@@ -211,7 +214,7 @@ def find_near(index: DataFrame, phrases: list[tuple[int, str]], slop: int = 5) -
     return index.mapInArrow(run, "doc_id long, item_id long, first long, last long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_items: int = 20_000) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, items, contaminated.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. A window is ``size``
@@ -221,14 +224,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     gives no hits or no rows.
     """
     index = build_index(docs)
-    parts = find(index, benchmark, size)
+    parts = find(index, benchmark, size, block_items)
     if len(parts) == 1:
         out = parts[0]
     else:  # hits of several blocks may overlap, so their spans are added up
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("doc_id", "n_words").agg(
+        out = out.groupBy("segment", "row", "doc_id", "n_words").agg(
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
         step = "(acc, x) -> struct(greatest(acc.upto, x div 1000000 + x % 1000000) AS upto, acc.n + greatest(0, x div 1000000 + x % 1000000 - greatest(acc.upto, x div 1000000)) AS n)"
         out = out.withColumn("n_hit", F.expr(f"aggregate(spans, struct(0L AS upto, 0L AS n), {step}, acc -> acc.n)"))

@@ -245,3 +245,12 @@ def test_long_lists_keep_pairs_of_sets_without_class_counts():
     columns = [[1] * 2, range(2), [1000] * 2, [0] * 2, range(2), [jj._histogram(u) for u in small]]
     batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=list("abcdef"))
     assert not list(jj._across(75, False)(iter([batch])))
+
+
+def test_blocks_of_items_do_not_join_rows(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "x y z w"), (None, "a b q q"), (None, "c d q q"), (None, "q q q q"), (2, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, "a b"), (11, "b c"), (12, "c d"), (13, "y z"), (None, "x y"), (14, "no")], "item_id long, text string")
+    counted = lambda **how: Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in dc.decontaminate(docs, items, **how).collect())
+    want = Counter({(1, 4, 4, (10, 11, 12), True): 2, (1, 4, 3, (13,), True): 1, (None, 4, 2, (10,), True): 1, (None, 4, 2, (12,), True): 1, (None, 4, 0, (), False): 1, (2, 0, 0, (), False): 2})
+    assert counted() == want and counted(block_items=2) == want
