@@ -1,9 +1,9 @@
 """Exact deduplication with a log-structured merge index over text digests.
 
-Digests of one batch form a memtable, which is aggregated and flushed as a run sorted by digest, with a bitmap
-filter. ``fanout`` runs of a level are compacted into one run of the next, which keeps for each digest the best
-row seen and the count. A run whose filter rules a digest out isn't searched for it. Rows whose digest is in the
-index more than once get their bytes compared before they count as equal.
+Digests of one batch form a memtable, which is aggregated and flushed as a run sorted by digest. ``fanout`` runs of a level
+are compacted into one run of the next, which keeps for each digest the best row seen and the count. Rows whose digest is
+in the index more than once get their bytes compared before they count as equal. ``exact_dedup`` merges all runs and joins;
+only ``lookup`` asks bitmap filters, which it builds from the runs each time (none is stored), and no query calls it.
 
 Everything is DataFrame operations. Through the index travel a digest, a length and an identifier a row, added up on the map
 side, so a group of copies that holds a third of all rows is one row a task. For the comparison of bytes the texts meet
