@@ -1,18 +1,19 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate, the expected number of its copies in the mix. Among all rates that give each source its
-target number of words and stay within ``cap``, the entropy-balanced ones are those nearest to the base measure in
-relative entropy. They have the form ``min(cap, exp(lambda_s * z))``, with one multiplier for each source and
-``z = (size / mean size of the source) ** tilt``. The multipliers solve a convex dual, found by Newton's method: each
-iteration aggregates the gradient and the curvature of every source's dual over all its documents (already counted
-by source and size) and moves all multipliers at once. With ``tilt`` 0 the base measure is words, so all words of a source are
-equally likely; with 1 it is documents, so long ones are favoured or avoided.
-
-Rates become copies by rounding down and dealing out one more copy where the source is still short: documents are
-put in the order of a hash, weighted by the fraction they lack, and taken while the running sum of words fits.
-Passes that follow fill what is left with the documents that still fit, so a source ends near its target. Running
-sums are taken in two levels (bins of the hash, then inside the one bin that the target cuts), so no task gets
-a whole source.
+Every document gets a rate, the expected number of its copies in the mix. The base measure is one copy of every document.
+Among all rates that give each source its target number of words and stay within ``cap``, the entropy-balanced ones are those
+nearest to the base measure in relative entropy: ``min(cap, exp(lambda_s * z))`` with one multiplier for each source and
+``z = size / mean size of the source``, so rates are tilted exponentially by length. The multipliers maximise the convex
+program's dual, one token constraint a source: Newton's method starts at 0; each iteration aggregates the dual's gradient and
+curvature of all sources over their documents (already counted by source and size) at a few steps at once, keeps for each source the
+step that leaves the least gradient, and narrows the bracket of the multiplier, which also bounds the next step. Sums are decimals, so
+they don't depend on the order of rows. A dual that doesn't come within 1e-6 of a target raises an error.
+
+Rates become copies by rounding down and dealing out one more copy to some documents of each size: sizes are walked through from
+the largest down, what a size can't take or takes too much is carried to the next, so a source ends within about its
+smallest documents of its target. Inside a size the documents with the smallest hashes get the copy. Sizes with many documents
+are divided into bins by hash, so no task ranks more than a bounded share of a source. What is walked through in one task is a
+source's table of sizes, not its documents.
 """
 
 from __future__ import annotations
@@ -25,149 +26,173 @@ from pyspark.sql import functions as F
 from .store import drop, saved
 from .text import n_words, whole
 
-#: Bins of a source's running sum; only the bin that the target cuts is looked at row by row.
-BINS = 4096
-
-
-def target_table(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target) for (source, source_size): weights repeat over the sources by code point, null
-    last. Together the targets are ``share`` of all words, but none is over ``cap`` times its source's size; what is
-    above is shared again by weight among the others until none is above.
-
-    A source is full exactly if its quotient size/weight is at most that of every source that isn't, so one pass in
-    the order of the quotients finds the last full one. There is a row a source here, not a document.
-    """
-    everything = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(everything) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("weight", w).withColumn("limit", cap * F.col("source_size"))
-    order = Window.orderBy((F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    t = t.withColumns({
-        "left": share * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)),
-        "weights": F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    # The first source whose share of what is left fits it fixes the level for itself and all after it.
-    t = t.withColumn("level", F.col("left") / F.col("weights"))
-    fits = F.col("level") * F.col("weight") <= F.col("limit")
-    level = F.min(F.when(fits, F.struct((F.col("limit") / F.col("weight")).alias("q"), "level"))).over(all_rows)["level"]
-    return t.withColumn("at", level).select(
-        "source", "source_size", F.least("limit", F.coalesce(F.col("at") * F.col("weight"), F.col("limit"))).alias("target")
-    )
-
-
-def solve_rates(cells: DataFrame, targets: DataFrame, cap: float, tilt: float, iterations: int = 40, tolerance: float = 1e-9) -> DataFrame:
-    """(source, target, source_size, lam, mean) by Newton's method on each source's dual over (source, size, n).
-
-    It starts where a rate that is the same for all documents would meet the target, which is the answer for ``tilt`` 0.
-    """
-    z = F.when(F.lit(tilt == 0), F.lit(1.0)).otherwise(F.pow(F.col("size") / F.col("mean"), F.lit(tilt)))
-    means = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    lam = targets.join(means, targets["source"].eqNullSafe(means["source"]), "left").drop(means["source"]).withColumns(
-        {"lam": F.when(F.col("target") > 0, F.log(F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0)), "mean": F.greatest(F.coalesce("mean", F.lit(1.0)), F.lit(1.0))})
-    state = saved(lam, "mix-dual")
-    for _ in range(iterations):
-        c = cells.withColumnRenamed("source", "s")
-        rows = c.join(state, F.col("s").eqNullSafe(F.col("source")))
-        rate = F.exp(F.col("lam") * z)
-        words = (F.col("size") * F.col("n")).cast("double")
-        step = rows.groupBy("s").agg(
-            F.sum(words * F.least(F.lit(cap), rate)).alias("have"),
-            F.sum(F.when(rate < cap, words * rate * z).otherwise(0.0)).alias("curve"),
-        )
-        # A full source's dual has no minimum; its multiplier stops where every rate is at the cap. A step is damped to 1.
-        gap = F.col("target") - F.col("have")
-        move = F.when(F.col("curve") > 0, gap / F.col("curve")).otherwise(F.lit(0.0))
-        move = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))
-        after = saved(
-            state.join(step, F.col("source").eqNullSafe(F.col("s")), "left")
-            .select("source", "source_size", "target", "mean", F.coalesce(F.col("lam") + move, F.col("lam")).alias("lam"),
-                    F.coalesce(F.abs(move), F.lit(0.0)).alias("moved")), "mix-dual")
+#: Rows of a table of sources that may go to all executors (some 60 bytes each).
+BROADCAST_ROWS = 200_000
+#: Documents of one size and source that are ranked together; in large tables, more: see ``HOT``.
+BIN = 256
+#: Sizes that are divided, at most. They have more than one in so many of all documents, so there are no more of them.
+HOT = 100_000
+TOLERANCE, ITERATIONS = 1e-9, 200
+CELL = ["key", "size", "times", "bin"]
+
+
+def _key(source: Column) -> Column:
+    """A source as a text that is never null and sorts by code point, null last."""
+    return F.when(source.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with its rank by key from 0: ranks inside ranges of keys, and the number of rows in the ranges before."""
+    dealt = saved(sizes.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "mix-sources")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition of the shuffle
+    parts = dealt.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    return dealt.join(F.broadcast(parts), "part").withColumn("rank", F.col("before") + inner).drop("part", "before")
+
+
+def target_table(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """(key, source_size, target) for (key, source_size): weights repeat over the keys in their order. Together the targets are
+    ``share`` of all words, but none is over ``cap`` times its source's size; what is above is shared again by weight among
+    the others until none is above. Each round is one aggregate over the sources."""
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    t = _ranked(sizes).select("key", "source_size", weight.alias("weight"), (F.lit(float(cap)) * F.col("source_size")).alias("limit"))
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("limit") < level * F.col("weight")
+        all_words, limits, free, n = t.agg(
+            F.sum("source_size"), F.sum(F.when(full, F.col("limit")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.count_if(full)).first()
+        if n == n_full or not free:
+            break
+        level, n_full = (share * (all_words or 0) - limits) / free, n
+    return t.select("key", "source_size", (F.least("limit", F.lit(level) * F.col("weight")) if free else F.col("limit")).alias("target"))
+
+
+def _rate(cap: int) -> Column:
+    return F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("z"), F.lit(math.log(cap)))))
+
+
+def solve_dual(cells: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """(key, lam, gap, moves) for ``sources`` (key, mean, target), whose targets are within reach, over ``cells`` (key, size, n):
+    the multiplier, the part of the target that its rates miss, and the number of Newton iterations that moved it."""
+    exact = lambda x: F.sum(x.cast("decimal(30,12)")).cast("double")
+    state = saved(sources.select("key", "mean", (F.col("target") / F.col("mean")).alias("b"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+                                 F.array(F.lit(0.0)).alias("tries"), F.lit(None).cast("double").alias("lam"), F.lit(1.0).alias("gap"), F.lit(-1).alias("moves")), "mix-dual")
+    small = sources.count() <= BROADCAST_ROWS
+    for _ in range(ITERATIONS):
+        tries = state.select("key", "mean", "b", "lo", "hi", "moves", F.explode("tries").alias("lam"))
+        rows = cells.join(F.broadcast(tries) if small else tries, "key").withColumn("z", F.col("size") / F.col("mean"))
+        words, rate = F.col("z") * F.col("n"), _rate(cap)
+        each = rows.groupBy("key", "mean", "b", "lo", "hi", "moves", "lam").agg(
+            exact(words * rate).alias("have"), exact(F.when(rate < cap, words * F.col("z") * rate).otherwise(0.0)).alias("curve")).withColumn("gap", F.col("b") - F.col("have"))
+        best = each.groupBy("key", "mean", "b", "moves").agg(
+            F.min(F.struct(F.abs("gap").alias("left"), "lam", "gap", "curve")).alias("best"),
+            F.max(F.when(F.col("gap") >= 0, F.col("lam")).otherwise(F.col("lo"))).alias("lo"), F.min(F.when(F.col("gap") <= 0, F.col("lam")).otherwise(F.col("hi"))).alias("hi"))
+        lam, gap, lo, hi = F.col("best.lam"), F.col("best.gap"), F.col("lo"), F.col("hi")
+        newton = lam + gap / F.when(F.col("best.curve") > 0, F.col("best.curve"))
+        inside = newton.isNotNull() & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
+        wide = lambda x: 2 * F.greatest(F.lit(1.0), F.abs(x))
+        middle = F.when(lo.isNull(), hi - wide(hi)).when(hi.isNull(), lo + wide(lo)).otherwise((lo + hi) / 2)
+        steps = F.array_distinct(F.array_compact(F.array(F.when(inside, newton), F.when(inside, lam + (newton - lam) / 2), middle)))
+        after = saved(best.select("key", "mean", "b", "lo", "hi", steps.alias("tries"), lam.alias("lam"), (F.col("best.left") / F.col("b")).alias("gap"), (F.col("moves") + 1).alias("moves")), "mix-dual")
         drop(state)
         state = after
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+        worst = state.agg(F.max("gap")).first()[0] or 0.0
+        if worst <= TOLERANCE:
             break
-    return state
+    if worst > 1e-6:
+        raise ArithmeticError(f"the dual of the mix misses a target by {worst:.1e} of it after {ITERATIONS} iterations")
+    return state.select("key", "lam", "gap", "moves")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, tilt: float = 0.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """``docs`` with the columns size, source_size, target, rate, copies and taken (words, copies counted).
 
-    Sizes are runs of characters that aren't ASCII blanks; null and empty texts have size 0 and get no copies. Null
-    is a source of its own, last. Repeated rows are told apart by nothing, so they get the same number of copies,
-    each; they are one document here, with the size of all. Columns of ``docs`` with the names of the new ones are
-    replaced. An empty table gives an empty one. Reruns agree: order is by a hash of seed, doc_id and text.
+    Sizes are runs of characters that aren't ASCII blanks; null and empty texts have size 0 and get no copies. Null is a source
+    of its own, last. Rows with the same doc_id, text and source are one document with the size of all, so they get the same number of
+    copies, each. Columns of ``docs`` with the names of the new ones are replaced. An empty table gives an empty one. Reruns
+    agree: order is by a hash of seed, doc_id and text. ``cap`` is a whole number of copies.
     """
-    sized, plan = _planned(docs, weights, share, cap, tilt, seed)
+    sized, plan, _ = _planned(docs, weights, share, cap, seed)
+    drop(sized)
     new = ["size", "source_size", "target", "rate", "copies", "taken"]
     base = docs.drop(*new)
-    drop(sized)
-    out = base.withColumn("h_", _hash(seed)).join(plan, _same("h_"))
+    out = base.withColumns({"h_": _hash(seed), "key_": _key(F.col("source"))}).join(plan, _same("h_", "key_"))
     return out.select(*base.columns, *new)
 
 
-def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, tilt: float = 0.0, seed: str = "mix") -> DataFrame:
+def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """The same decisions without the other columns: doc_id, source, size, source_size, target, rate, copies, taken."""
-    sized, plan = _planned(docs, weights, share, cap, tilt, seed)
-    return sized.drop("size").join(plan, _same("h")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+    sized, plan, repeated = _planned(docs, weights, share, cap, seed)
+    if repeated:
+        plan = sized.drop("size").join(plan, _same("h", "key"))
+    else:  # the plan has a row for each row already
+        plan = plan.withColumnsRenamed({"k_id": "doc_id", "k_key": "key"})
+    source = F.when(F.col("key") != "t", F.substr("key", F.lit(2)))
+    return plan.select("doc_id", source.alias("source"), "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def _hash(seed: str) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", whole("text"))
 
 
-def _same(h: str) -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col(h) == F.col("k_h"))
-
-
-def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, tilt: float, seed: str) -> tuple[DataFrame, DataFrame]:
-    """A row for each row of ``docs`` (doc_id, source, size, h), and a plan row for each of the distinct ones."""
-    sized = saved(docs.select("doc_id", "source", n_words("text").alias("size"), _hash(seed).alias("h")), "mix-sizes")
-    cells = saved(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
-    targets = target_table(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
-    rates = solve_rates(cells, targets, cap, tilt)
-    plan = _rounded(sized, rates, cap, tilt)
-    drop(cells, rates)
-    return sized, plan.select(
-        F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("h").alias("k_h"),
-        "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def _rounded(sized: DataFrame, rates: DataFrame, cap: float, tilt: float, passes: int = 3) -> DataFrame:
-    z = F.when(F.lit(tilt == 0), F.lit(1.0)).otherwise(F.pow(F.col("size") / F.col("mean"), F.lit(tilt)))
-    docs = sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("times"))
-    r = rates.withColumnRenamed("source", "s")
-    rows = docs.join(r, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.round(F.least(F.lit(cap), F.exp(F.col("lam") * z)), 9))
-    low = F.floor("rate")
-    unit = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / float(1 << 53)
-    share = F.greatest(F.col("rate") - low, F.lit(1e-12))
-    rows = rows.select(
-        "doc_id", "source", "size", "h", "times", "source_size", "target", "rate",
-        F.when(F.col("size") > 0, low).otherwise(0).cast("long").alias("copies"), (F.col("size") * F.col("times")).alias("words"),
-        # Order of a weighted sample without replacement, as a number in [0, 1).
-        F.pow(unit, share if tilt else F.lit(1.0)).alias("u"),
-    ).withColumn("bin", F.least((F.col("u") * BINS).cast("int"), F.lit(BINS - 1)))
-    rows = saved(rows, "mix-rounding")
-    for _ in range(passes):
-        rows = _fill(rows, cap)
-    return rows
-
-
-def _fill(rows: DataFrame, cap: float) -> DataFrame:
-    """One more copy for the documents that the running sum, over those that fit alone, still has room for."""
-    short = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("words") * F.col("copies"))).alias("short"))
-    short = short.withColumnRenamed("source", "s")
-    can = rows.join(short, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
-        "can", (F.col("size") > 0) & (F.col("words") <= F.col("short")) & (F.col("copies") + 1 <= F.least(F.ceil("rate"), F.lit(math.floor(cap)))))
-    sums = can.where("can").groupBy("source", "bin").agg(F.sum("words").alias("w"), F.max("short").alias("short"))
-    upto = F.sum("w").over(Window.partitionBy("source").orderBy("bin"))
-    bins = sums.withColumn("upto", upto).where(F.col("upto") - F.col("w") < F.col("short"))
-    bins = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), (F.col("short") - F.col("upto") + F.col("w")).alias("room"), (F.col("upto") <= F.col("short")).alias("whole"))
-    can = can.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")) & F.col("can"), "left")
-    cut = can.where("not whole")
-    run = F.sum("words").over(Window.partitionBy("source", "bin").orderBy("u", "h", "doc_id"))
-    cut = cut.withColumn("whole", run <= F.col("room"))
-    out = can.where("whole is null or whole").unionByName(cut)
-    out = out.withColumn("copies", F.col("copies") + F.coalesce(F.col("whole").cast("long"), F.lit(0)))
-    out = saved(out.select(*rows.columns), "mix-rounding")
-    drop(rows)
-    return out
+def _same(h: str, key: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col(key) == F.col("k_key")) & (F.col(h) == F.col("k_h"))
+
+
+def balanced(cells: DataFrame, weights: tuple[float, ...], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(key, source_size, target, mean, lam) of every source, lam null where its target is all it may give, and the dual's report.
+    ``cells`` has (key, size, n)."""
+    if cap != int(cap) or cap < 1:
+        raise ValueError("cap is a whole number of copies")
+    sums = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n_docs"))
+    targets = target_table(sums.select("key", "source_size"), weights, share, cap)
+    sources = saved(targets.join(sums.select("key", (F.col("source_size") / F.col("n_docs")).alias("mean")), "key"), "mix-targets")
+    open_ = sources.where((F.col("target") > 0) & (F.col("target") < F.lit(cap * (1 - 1e-12)) * F.col("source_size")))
+    dual = solve_dual(cells.where("size > 0"), open_, cap)
+    return sources.join(dual.select("key", "lam"), "key", "left"), dual
+
+
+#: Walks through the sizes of a source, largest first: (words, size, times, bin, n, f, less, more); what is carried on are words.
+#: A size takes the number nearest to its due that the sizes after it can still make up for: together they can give up
+#: ``less`` words and take ``more``. Blocks of 256 sizes are added up, so that a long table is not copied for every size.
+_DUE = "(c.n * c.f + a.carry / c.words)"
+_TAKE = f"greatest(0L, least(c.n, cast(greatest(ceil({_DUE} - c.more / c.words - 1e-9D), least(floor({_DUE} + c.less / c.words + 1e-9D), floor({_DUE} + 0.5D))) AS bigint)))"
+_WALK = f"""aggregate(sequence(0, (size(cs) - 1) div 256), struct(0D AS carry, cast(array() AS array<bigint>) AS m), (o, b) ->
+    aggregate(slice(cs, b * 256 + 1, 256), struct(o.carry AS carry, cast(array() AS array<bigint>) AS m),
+        (a, c) -> struct(a.carry + c.words * (c.n * c.f - {_TAKE}) AS carry, array_append(a.m, {_TAKE}) AS m), a -> struct(a.carry AS carry, concat(o.m, a.m) AS m)), o -> o.m)"""
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, cap: int, seed: str) -> tuple[DataFrame, DataFrame, bool]:
+    """A row for each row of ``docs`` (doc_id, key, size, h), a plan row for each of the distinct ones, and whether there are fewer."""
+    sized = saved(docs.select("doc_id", _key(F.col("source")).alias("key"), n_words("text").alias("size"), _hash(seed).alias("h")), "mix-sizes")
+    rows = saved(sized.groupBy("doc_id", "key", "size", "h").agg(F.count("*").alias("times")), "mix-documents")
+    counted = saved(rows.groupBy("key", "size", "times").agg(F.count("*").alias("n")), "mix-cells")
+    cells = counted.groupBy("key", "size").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    sources, dual = balanced(cells, weights, share, cap)
+
+    total, repeated = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("times"), F.lit(1))).first()
+    most = max(BIN, -(-total // HOT))
+    hot = counted.where(F.col("n") > most).select("key", "size", "times", F.ceil(F.col("n") / most).alias("bins"))
+    unit = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    rows = rows.join(F.broadcast(hot), ["key", "size", "times"], "left").withColumn("bin", F.coalesce(F.floor(unit * F.col("bins")), F.lit(0)))
+    parts = rows.groupBy(*CELL).agg(F.count("*").alias("n")).join(_small(sources), "key")
+    rate = F.when(F.col("size") == 0, 0.0).when(F.col("lam").isNotNull(), _rate(cap)).when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)
+    parts = parts.withColumn("z", F.col("size") / F.col("mean")).withColumn("rate", F.round(rate, 9)).withColumn("low", F.floor("rate"))
+    parts = saved(parts.select(*CELL, "n", "source_size", "target", "rate", "low", (F.col("size") * F.col("times")).alias("words"), F.round(F.col("rate") - F.col("low"), 9).alias("f")), "mix-parts")
+    after = Window.partitionBy("key").orderBy(*[F.desc(c) for c in ("words", "size", "times", "bin")]).rowsBetween(1, Window.unboundedFollowing)
+    rest = lambda x: F.coalesce(F.sum(F.col("words") * F.col("n") * x).over(after), F.lit(0.0))
+    table = parts.where("f > 0").withColumns({"less": rest(F.col("f")), "more": rest(1 - F.col("f"))})
+    table = table.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("words", "size", "times", "bin", "n", "f", "less", "more")), False).alias("cs"))
+    more = table.select("key", F.explode(F.arrays_zip("cs", F.expr(_WALK).alias("m"))).alias("x")).select("key", "x.cs.size", "x.cs.times", "x.cs.bin", "x.m")
+    plan = saved(parts.join(more, CELL, "left").select(*CELL, "source_size", "target", "rate", "low", F.coalesce("m", F.lit(0)).alias("m")), "mix-plan")
+    # Both sides are dealt by the cell, and so is the window.
+    rank = F.row_number().over(Window.partitionBy(*CELL).orderBy("h", "doc_id"))
+    rows = rows.join(plan, CELL).withColumn("copies", F.col("low") + (rank <= F.col("m")).cast("long"))
+    drop(parts)
+    return sized, rows.select(
+        F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), F.col("h").alias("k_h"),
+        "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")), repeated > 1
