@@ -1,13 +1,16 @@
 """Exact deduplication with a log-structured merge index over text digests.
 
-Digests of one batch form a memtable, which is aggregated and flushed as a run sorted by digest. ``fanout`` runs of a level
-are compacted into one run of the next, which keeps for each digest the best row seen and the count. Rows whose digest is
-in the index more than once get their bytes compared before they count as equal. ``exact_dedup`` merges all runs and joins;
-only ``lookup`` asks bitmap filters, which it builds from the runs each time (none is stored), and no query calls it.
+The digests of a batch form a memtable, which is aggregated and flushed as a run sorted by digest, with a bitmap filter of its
+digests. Before that, each older run is asked for the memtable's digests: the run's filter lets few others through, and
+those that pass are merge-joined with the run, which gives the hits. Two runs of a level are compacted into one of the next, which
+keeps for each digest the best row seen (most code points, then the smallest identifier) and the count.
+
+Texts of hits, and of digests repeated inside a batch, are verified byte by byte: a filter of those digests decides which
+texts are looked at, and each map task sends the smallest and the largest text of a digest, so copies collapse before the shuffle. Digests
+that turn out to stand for several texts are grouped by the texts themselves.
 
 Everything is DataFrame operations. Through the index travel a digest, a length and an identifier a row, added up on the map
-side, so a group of copies that holds a third of all rows is one row a task. For the comparison of bytes the texts meet
-the repeated digests in a join (a shuffle of the texts once those digests are too many to broadcast).
+side, so a group of copies that holds a third of all rows is one row a task; rows of hot digests get their answer by broadcast.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import build_filter, drop_runs, flush, let_through, merge, present, split_join
 from .store import drop, saved
 from .text import BLANKS, whole
 
 DECIMAL = "decimal(38,0)"
-#: Bits of a run's filter are dealt over bitmaps of 32,768 bits; a bucket is one bitmap.
-FILTER_BUCKETS = 1 << 13
+#: Rows of a batch at most; there are four batches at least.
+BATCH = 500_000_000
 
 
 def normalised(text: Column | str) -> Column:
@@ -41,58 +45,73 @@ def _entry(best: Column) -> tuple[Column, Column]:
 
 
 class DigestIndex:
-    """Levels of sorted runs (digest, group_size, best). ``add`` takes a batch, ``merged`` compacts everything."""
+    """Levels of sorted runs (digest, group_size, best) with their filters. ``add`` takes a batch, ``merged`` compacts everything;
+    ``hits`` are the digests that a batch found in an older run or has more than once itself."""
+
+    def __init__(self) -> None:
+        self.levels, self.hits, self.asked = {}, [], 0
 
-    def __init__(self, fanout: int = 4) -> None:
-        self.fanout, self.levels = fanout, {}
+    def runs(self) -> list[tuple[DataFrame, DataFrame]]:
+        return [r for _, run in sorted(self.levels.items()) for r in run]
+
+    def find(self, digests: DataFrame) -> DataFrame:
+        """(digest) of ``digests`` that the index has: each run gets those that its filter lets through."""
+        out = digests.select("digest").limit(0)
+        for run, bits in self.runs():
+            self.asked += 1
+            out = out.unionByName(present(let_through(digests.select("digest"), "digest", bits), run, "digest"))
+        return out
 
     def add(self, batch: DataFrame) -> None:
-        run = batch.groupBy("digest").agg(F.count("*").alias("group_size"), _best().alias("best"))
-        self._put(0, run)
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        runs = self.levels.setdefault(level, [])
-        runs.append(saved(run.sortWithinPartitions("digest"), f"digest-run-{level}"))
-        if len(runs) >= self.fanout:
-            merged = self._compact(runs)
-            del self.levels[level]
-            self._put(level + 1, merged)
-            drop(*runs)
+        """Adds a batch of (digest, n_chars, doc_id)."""
+        run = flush(batch.groupBy("digest").agg(F.count("*").alias("group_size"), _best().alias("best")), "digest", "digest-run")
+        self.hits.append(saved(self.find(run).unionByName(run.where("group_size > 1").select("digest")), "digest-hits"))
+        self._put(run, build_filter(run, "digest", "digest-filter"))
+
+    def _put(self, run: DataFrame, bits: DataFrame) -> None:
+        level = 0
+        while self.levels.get(level):
+            run = self._compacted(*self.levels[level].pop(), run, bits)
+            bits = build_filter(run, "digest", "digest-filter")
+            level += 1
+        self.levels.setdefault(level, []).append((run, bits))
 
     @staticmethod
-    def _compact(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.max("best").alias("best"))
+    def _compacted(a: DataFrame, a_bits: DataFrame, b: DataFrame, b_bits: DataFrame) -> DataFrame:
+        size = F.coalesce("a.group_size", F.lit(0)) + F.coalesce("b.group_size", F.lit(0))
+        out = flush(merge(a, b, "digest", group_size=size, best=F.greatest("a.best", "b.best")), "digest", "digest-run")
+        drop_runs(a, b)
+        drop(a_bits, b_bits)
+        return out
 
     def merged(self) -> DataFrame:
-        return self._compact([r for _, runs in sorted(self.levels.items()) for r in runs])
-
-    @staticmethod
-    def run_filter(run: DataFrame) -> DataFrame:
-        """The run's filter: (bucket, bits), a bitmap over the hash of its digests."""
-        h = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BUCKETS * 32768)) + 1
-        return run.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits"))
+        """One run of everything; the index is that run afterwards."""
+        runs = self.runs()
+        run, bits = runs[0]
+        for other, more in runs[1:]:
+            run = self._compacted(run, bits, other, more)
+            bits = build_filter(run, "digest", "digest-filter")
+        self.levels = {len(self.levels): [(run, bits)]}
+        return run
+
+    def repeated(self) -> DataFrame:
+        out = self.hits[0]
+        for h in self.hits[1:]:
+            out = out.unionByName(h)
+        return out.distinct()
 
     def lookup(self, digests: DataFrame) -> DataFrame:
-        """Entries of the given digests: each run is searched only for digests that its filter lets through."""
-        h = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BUCKETS * 32768)) + 1
-        asked = digests.select("digest").distinct().withColumns({"bucket": F.bitmap_bucket_number(h), "bit": F.bitmap_bit_position(h)})
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.getbit(byte, (F.col("bit") % 8).cast("int"))
+        """Entries of the given digests (digest, group_size, keep_id, keep_chars), through the filters."""
         found = None
-        for runs in self.levels.values():
-            for run in runs:
-                some = asked.join(self.run_filter(run), "bucket").where(hit == 1).select("digest")
-                rows = run.join(some, "digest")
-                found = rows if found is None else found.unionByName(rows)
-        length, keep = _entry(F.col("best"))
+        for run, bits in self.runs():
+            rows = run.join(let_through(digests.select("digest").distinct(), "digest", bits).hint("merge"), "digest")
+            found = rows if found is None else found.unionByName(rows)
         found = found.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.max("best").alias("best"))
+        length, keep = _entry(F.col("best"))
         return found.select("digest", "group_size", keep.alias("keep_id"), length.alias("keep_chars"))
 
 
-def exact_dedup(docs: DataFrame, batches: int = 4, fanout: int = 4, digest_bytes: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, batches: int | None = None, digest_bytes: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after every ASCII blank is deleted; null counts as empty, so null, empty and
@@ -102,39 +121,41 @@ def exact_dedup(docs: DataFrame, batches: int = 4, fanout: int = 4, digest_bytes
     ignored. ``digest_bytes`` under 32 shortens the index key, which only makes byte verification work harder.
     """
     text = normalised("text")
+    n = docs.count()
+    batches = batches or max(4, -(-n // BATCH))
     rows = docs.select("doc_id", F.length(whole("text")).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
     rows = rows.withColumns({"digest": F.substring("text_sha256", 1, 2 * digest_bytes), "batch": F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")})
     rows = saved(rows, "digests", by="batch")
-    index = DigestIndex(fanout)
+    index = DigestIndex()
     for b in range(batches):
-        index.add(rows.where(F.col("batch") == b))
-    merged = saved(index.merged(), "digest-index")
-    drop(*[r for runs in index.levels.values() for r in runs])
+        index.add(rows.where(F.col("batch") == b).select("digest", "n_chars", "doc_id"))
+    hits = saved(index.repeated(), "digest-hits")
+    drop(*index.hits)
+    merged = index.merged()
+    bits = build_filter(hits, "digest", "digest-filter")
 
-    repeated = merged.where("group_size > 1").select("digest")
     digest = F.substring(F.sha2(text, 256), 1, 2 * digest_bytes)
-    compared = (
-        docs.select(digest.alias("digest"), text.alias("t"))
-        .join(repeated, "digest", "left_semi")
-        .groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-        .where(F.col("a") != F.col("b")).select("digest")
-    )
+    compared = let_through(docs.select(digest.alias("digest"), text.alias("t")), "digest", bits)
+    compared = compared.groupBy("digest").agg(F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("a") != F.col("b")).select("digest")
     unequal = saved(compared, "unequal-digests")
+    repeated = merged.where("group_size > 1")
     if unequal.isEmpty():
-        drop(unequal)
-        return _result(rows, merged, "digest")
+        drop(unequal, hits, bits)
+        return _result(rows, repeated, "digest", n)
     # Digests that stand for several texts: those rows are grouped by the whole digest and the text itself.
     split = (
         docs.select("doc_id", F.length(whole("text")).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"), digest.alias("digest"), text.alias("t"))
         .join(unequal, "digest", "left_semi")
     )
     best = split.groupBy("digest", "t").agg(F.count("*").alias("group_size"), _best().alias("best"))
-    odd = _result(split.withColumn("key", F.struct("digest", "t")).drop("digest", "t"), best.select(F.struct("digest", "t").alias("key"), "group_size", "best"), "key")
-    return _result(rows.join(unequal, "digest", "left_anti"), merged, "digest").unionByName(odd)
+    odd = _result(split.withColumn("key", F.struct("digest", "t")).drop("digest", "t"), best.select(F.struct("digest", "t").alias("key"), "group_size", "best"), "key", n)
+    return _result(rows.join(unequal, "digest", "left_anti"), repeated, "digest", n).unionByName(odd)
 
 
-def _result(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+def _result(rows: DataFrame, index: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with the answer of their group; those that ``index`` doesn't have are alone."""
     length, keep = _entry(F.col("best"))
-    rows = rows.join(index.withColumns({"keep_id": keep, "keep_chars": length}), key)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    rows = split_join(rows, index, key, "group_size", total, "left").withColumns({"keep_id": keep, "keep_chars": length})
+    alone = F.col("best").isNull()
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
+    return rows.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
