@@ -5,7 +5,8 @@ where documents begin. A segment is a row of a Parquet table in the shared folde
 is split by documents and every further benchmark can be held against it. ``find`` sends the benchmark's windows to all
 segments. In a segment, a window with an unknown term ends at once; else the list of its rarest term gives the
 candidates, shifted by that term's offset, which are intersected with the lists of the other terms, rarest first.
-Windows are tried in groups that bound the candidates held at once; the benchmark itself goes out in blocks of bounded size.
+Windows are tried in groups that bound the candidates held at once; equal windows of several items are sought once. The benchmark
+itself goes out in blocks of at most ``BLOCK_CHARS`` characters (an item that is longer is a block by itself).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .store import drop, saved
 
 #: Tokens of a segment (a longer document is a segment by itself) and candidates held at once.
 SEGMENT, CANDIDATES = 1 << 20, 1 << 20
+#: Characters of the items that are sent at once, some 15 bytes a character as windows.
+BLOCK_CHARS = 8 << 20
 INDEX = "segment long, doc_ids array<long>, starts binary, terms binary, ptr binary, pos binary"
 
 
@@ -64,18 +67,30 @@ def build_index(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_segments, INDEX), "positional-index")
 
 
-def windows_of(items: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item numbers, lengths, term hashes padded to ``size``) of all windows; items are (item_id, text)."""
-    h, first = tokens(*flat(pa.array([t for _, t in items], pa.string())), WORD_CLASSES)
-    item, length, rows = [], [], []
-    for i in range(len(items)):
-        words = h[first[i] : first[i + 1]]
-        n = min(size, len(words))
-        for k in range(len(words) - n + 1 if n else 0):
-            item.append(i)
-            length.append(n)
-            rows.append(np.r_[words[k : k + n], np.zeros(size - n, np.uint64)])
-    return np.array(item, np.int64), np.array(length, np.int64), np.array(rows, np.uint64).reshape(-1, size)
+class Windows:
+    """The distinct windows of items (item_id, text): their lengths, term hashes padded to ``size``, and the items of each."""
+
+    def __init__(self, items: list[tuple], size: int) -> None:
+        h, first = tokens(*flat(pa.array([t for _, t in items], pa.string())), WORD_CLASSES)
+        n = np.diff(first)
+        row = np.repeat(np.arange(len(items)), n)
+        start = np.flatnonzero(np.arange(len(h)) + size <= first[1:][row])
+        short = np.flatnonzero((n > 0) & (n < size))
+        item = np.r_[row[start], short]
+        table = np.zeros((len(item), size + 1), np.uint64)  # the first column is the length
+        table[: len(start), 0], table[len(start) :, 0] = size, n[short]
+        if len(start):
+            table[: len(start), 1:] = np.lib.stride_tricks.sliding_window_view(h, size)[start]
+        for k, i in enumerate(short.tolist()):
+            table[len(start) + k, 1 : n[i] + 1] = h[first[i] : first[i + 1]]
+        table, of = np.unique(table, axis=0, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        self.length, self.rows = table[:, 0].astype(np.int64), np.ascontiguousarray(table[:, 1:])
+        self.item, self.ptr = item[order], np.searchsorted(of.ravel()[order], np.arange(len(table) + 1))
+        self.names = [i for i, _ in items]
+
+    def items(self, w: int) -> set:
+        return {self.names[i] for i in self.item[self.ptr[w] : self.ptr[w + 1]].tolist()}
 
 
 class Segment:
@@ -152,46 +167,53 @@ class Segment:
         return sorted(out)
 
 
-def _search(item: np.ndarray, length: np.ndarray, rows: np.ndarray, names: list):
+def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.int64()))])
+        windows = sent.value
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
-                w, p = seg.phrases(length, rows)
-                edge = np.zeros(seg.n + 1, np.int64)
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + length[w], -1)
+                w, p = seg.phrases(windows.length, windows.rows)
+                n = windows.length[w]
+                edge = np.bincount(p, minlength=seg.n + 1) - np.bincount(p + n, minlength=seg.n + 1)
                 hit = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
                 n_hit = hit[seg.starts[1:]] - hit[seg.starts[:-1]]
                 found: dict[int, set] = {}
                 spans: dict[int, list] = {}
-                for d, i, a, n in zip(seg.doc_of(p).tolist(), item[w].tolist(), p.tolist(), length[w].tolist(), strict=True):
-                    found.setdefault(d, set()).add(names[i])
-                    spans.setdefault(d, []).append((a - int(seg.starts[d])) * 1_000_000 + n)
+                doc = seg.doc_of(p)
+                for d, k in np.unique(np.stack([doc, w]), axis=1).T.tolist():
+                    found.setdefault(d, set()).update(windows.items(k))
+                for d, x in zip(doc.tolist(), ((p - seg.starts[doc]) * 1_000_000 + n).tolist(), strict=True):
+                    spans.setdefault(d, []).append(x)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["segment"]] * len(seg.ids), pa.int64()), pa.array(range(len(seg.ids)), pa.int64()), pa.array(seg.ids, pa.int64()), pa.array(np.diff(seg.starts)), pa.array(n_hit),
                     pa.array([sorted(found.get(d, ()), key=str) for d in range(len(seg.ids))], schema.field(5).type),
-                    pa.array([sorted(set(spans.get(d, ()))) for d in range(len(seg.ids))], schema.field(6).type)], schema=schema)
+                    pa.array([sorted(spans.get(d, ())) for d in range(len(seg.ids))], schema.field(6).type)], schema=schema)
     return run
 
 
-def find(index: DataFrame, benchmark: DataFrame, size: int = 10, block_items: int = 20_000) -> list[DataFrame]:
-    """A DataFrame for each block of at most ``block_items`` items: a row per document with segment and row (its place
+def find(index: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """A DataFrame for each block of items: a row per document with segment and row (its place
     in the index), doc_id, n_words, n_hit, items (those with occurring windows) and spans (start * 1,000,000 + length of each occurrence, in words).
 
-    Items are read in blocks, so what is sent to the segments is bounded by a block's texts.
+    Items are read a partition at a time and go out as soon as a block is full.
     """
-    small_batches(index.sparkSession, 4)
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    out = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [(r.item_id, r.text) for r in part.toLocalIterator()]
-        item, length, windows = windows_of(rows, size)
-        out.append(index.mapInArrow(_search(item, length, windows, [i for i, _ in rows]), "segment long, row long, doc_id long, n_words long, n_hit long, items array<long>, spans array<long>"))
+    spark = index.sparkSession
+    small_batches(spark, 4)
+    out, block, chars = [], [], 0
+
+    def send() -> None:
+        sent = spark.sparkContext.broadcast(Windows(block, size))
+        out.append(index.mapInArrow(_search(sent), "segment long, row long, doc_id long, n_words long, n_hit long, items array<long>, spans array<long>"))
+
+    for r in benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
+        if block and chars + len(r.text) > block_chars:
+            send()
+            block, chars = [], 0
+        block.append((r.item_id, r.text))
+        chars += len(r.text)
+    send()
     return out
 
 
@@ -214,7 +236,7 @@ def find_near(index: DataFrame, phrases: list[tuple[int, str]], slop: int = 5) -
     return index.mapInArrow(run, "doc_id long, item_id long, first long, last long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_items: int = 20_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, items, contaminated.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. A window is ``size``
@@ -224,7 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_i
     gives no hits or no rows.
     """
     index = build_index(docs)
-    parts = find(index, benchmark, size, block_items)
+    parts = find(index, benchmark, size, block_chars)
     if len(parts) == 1:
         out = parts[0]
     else:  # hits of several blocks may overlap, so their spans are added up
