@@ -1,8 +1,8 @@
 """Vectorised tokens and hashes over the bytes of Arrow string columns, for the operators that run in Python.
 
-A token's hash is a polynomial in its bytes modulo 2**64, taken from running sums, and then mixed. Texts are looked at
-in blocks of about a megabyte that end where no token goes on, so memory does not depend on a text's length
-except for the 8 bytes a token that are returned.
+A token's hash is a polynomial in its bytes modulo 2**64, taken from running sums, and then mixed. Bytes are looked at in
+blocks of a megabyte; of a token that goes on in the next block, the sum so far is carried over. So memory does not depend on the length
+of a text or a token except for the 8 bytes a token that are returned.
 """
 
 from __future__ import annotations
@@ -65,15 +65,10 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens in order, and for each row the number of its first token (one more entry at the end)."""
     n, at, hashes, starts = len(data), 0, [], []
+    carry = None  # (sum, length, start) of a token that goes on
+    p, q = _powers(BLOCK + 1)
     while at < n:
         end = min(n, at + BLOCK)
-        while end < n:  # to the next blank or row
-            row = offsets[np.searchsorted(offsets, end)]
-            blank = np.flatnonzero(classes[data[end : min(n, end + 65536)]] == 0)
-            if row == end or len(blank) or row <= end + 65536:
-                end = int(min(row, end + blank[0] if len(blank) else n))
-                break
-            end = min(n, end + 65536)
         c = classes[data[at:end]]
         new = np.empty(len(c) + 1, bool)
         new[0] = new[-1] = True
@@ -83,13 +78,20 @@ def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[
         inside = c != 0
         s = np.flatnonzero(new[:-1] & inside)
         e = np.flatnonzero(new[1:] & inside)
-        p, q = _powers(max(len(c), BLOCK + 1))
         total = np.cumsum((LOWER[data[at:end]].astype(np.uint64) + np.uint64(1)) * p[: len(c)])
         before = total[s - 1]
         if len(s) and s[0] == 0:
             before[0] = 0
-        hashes.append(mix64((total[e] - before) * q[s]))
-        starts.append(s + at)
+        value, length, s = (total[e] - before) * q[s], e + 1 - s, s + at
+        if carry is not None:  # the block begins inside it
+            value[0] = np.uint64((carry[0] + int(value[0]) * pow(_BASE, carry[1], 1 << 64)) & _M64)
+            length[0], s[0], carry = length[0] + carry[1], carry[2], None
+        row = np.searchsorted(offsets, end)
+        if end < n and c[-1] and classes[data[end]] == c[-1] and offsets[row] != end:
+            carry = int(value[-1]), int(length[-1]), int(s[-1])
+            value, s = value[:-1], s[:-1]
+        hashes.append(mix64(value))
+        starts.append(s)
         at = end
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)

@@ -1,9 +1,10 @@
 """A quality classifier by importance resampling (data selection with hashed n-gram models).
 
 Two generative models of hashed word and word-pair counts are fitted: one of all texts, one of a bounded sample of
-texts that are labelled good. A text's log importance weight is the log of the ratio of the two, added up over its n-grams.
-Gumbel noise is added to the log weights and the k largest sums stay, which draws k texts without replacement by importance.
-``k`` is the number of texts whose mean log ratio is above the cut that parts good from bad labelled texts best.
+texts that are labelled good. A text's log importance weight is the log of the ratio of the two, added up over its n-grams and
+brought to ``LENGTH`` n-grams, so that long texts don't win by their length alone. Gumbel noise is added to the log weights and the
+k largest sums stay, which draws k texts without replacement by importance.
+``k`` is the number of texts whose log weight is above the cut that parts good from bad labelled texts best.
 
 Counts are dense vectors of fixed length, added up in slices, so what is shuffled or sent grows with the number of tasks and
 not with the vocabulary. Texts are never shuffled; the rows that stay are filtered where they are read.
@@ -15,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import MIXED_CLASSES, flat, mix64, ngrams, small_batches, tokens
+from .kernel import MIXED_CLASSES, flat, ngrams, small_batches, tokens
 from .store import drop, saved
+from .text import whole
 
 BUCKETS, SLICES = 1 << 16, 32
+#: n-grams of the text that log weights are stated for.
+LENGTH = 100
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,15 +82,16 @@ def sample(labels: DataFrame, max_labelled: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def _scores(ratio: np.ndarray, ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams, log weight, log weight with Gumbel noise); the noise follows from id and text."""
+def _seed() -> Column:
+    """What the noise follows from: id and whole text."""
+    return F.xxhash64(F.lit("gumbel"), "doc_id", whole("text"))
+
+
+def _scores(ratio: np.ndarray, texts: pa.Array, seeds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, log weight, log weight with Gumbel noise)."""
     bucket, row, n = _features(texts)
-    weight = np.bincount(row, ratio[bucket], minlength=len(n))
-    h, first = tokens(*flat(texts), np.ones(256, np.uint8))  # a text is one token here
-    whole = np.zeros(len(n), np.uint64)
-    whole[first[1:] > first[:-1]] = h
-    seed = mix64(whole + ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64))
-    u = ((seed >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+    weight = LENGTH * np.bincount(row, ratio[bucket], minlength=len(n)) / np.maximum(n, 1)
+    u = ((seeds.to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
     return n, weight, weight - np.log(-np.log(u))
 
 
@@ -97,14 +102,15 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _scores(sent.value, b.column(0), b.column(1)))], names=["doc_id", "n_ngrams", "log_weight", "sample_key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _scores(sent.value, b.column(1), b.column(2)))], names=["doc_id", "n_ngrams", "log_weight", "sample_key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_ngrams long, log_weight double, sample_key double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _seed().alias("seed"))
+    return rows.mapInArrow(run, "doc_id long, n_ngrams long, log_weight double, sample_key double")
 
 
 def best_cut(scored: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> float | None:
-    """The mean log ratio that parts the bounded sample of labelled texts best; None without both kinds of labels."""
-    both = sample(labels, max_labelled).join(scored.where("n_ngrams > 0"), "doc_id").select("good", "bad", (F.col("log_weight") / F.col("n_ngrams")).alias("m")).toPandas()
+    """The log weight that parts the bounded sample of labelled texts best; None without both kinds of labels."""
+    both = F.broadcast(sample(labels, max_labelled)).join(scored.where("n_ngrams > 0"), "doc_id").select("good", "bad", F.col("log_weight").alias("m")).toPandas()
     good, bad = (np.sort(both["m"][both[c].astype(bool)]) for c in ("good", "bad"))
     if not len(good) or not len(bad):
         return None
@@ -138,7 +144,7 @@ def _decided(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[np.
     ratio = fit(docs, labels, max_labelled)
     scored = saved(weigh(docs, ratio), "importance")
     cut = best_cut(scored, labels, max_labelled)
-    k = 0 if cut is None else scored.where(F.col("log_weight") >= cut * F.col("n_ngrams")).count()
+    k = 0 if cut is None else scored.where(F.col("log_weight") >= cut).count()
     return ratio, scored, kth_largest(scored, k) if k else -np.inf
 
 
@@ -158,10 +164,11 @@ def select_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
     ratio, scored, least = _decided(docs, labels, max_labelled)
     drop(scored)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
-    i, t = docs.columns.index("doc_id"), docs.columns.index("text")
+    t, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_scores(sent.value, b.column(i), b.column(t))[2] >= least))
+            kept = b.filter(pa.array(_scores(sent.value, b.column(t), b.column(n))[2] >= least))
+            yield kept.select(list(range(n)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select(*docs.columns, _seed().alias("gumbel_seed_")).mapInArrow(run, docs.schema)
