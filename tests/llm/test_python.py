@@ -94,21 +94,57 @@ def test_token_counts_round_trip(spark):
         assert Counter(map(tuple, token_files.token_counts(spark.createDataFrame(rows, SCHEMA), block_tokens=block).collect())) == want
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 3)  # many blocks, and keys that go over several
     rows = [(i, f"http://a{i % 3}.example.org/x{i % 5}?q", f"<p>{i % 7}é</p>" * 50) for i in range(40)] + [(50, None, None), (51, "x\r\ny", ""), (None, "http://u/", "<p>1é</p>" * 50)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(60 + i, "http://hot.org/", "hot") for i in range(20)] + [(5, rows[5][1], rows[5][2])]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, key string")
     last = {}
     for i, _, t in rows:
         last[t or ""] = max(last.get(t or "", -1), -1 if i is None else i)
-    got = {r.page_id: r for r in warc.archived(pages).collect()}
-    assert len(got) == len(rows)
+    got = warc.archived(pages).collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    got = {r.page_id: r for r in got}
     for i, _, t in rows:
         body, r = (t or "").encode(), got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(body), warc.base32_sha1(body))
         assert (r.record_type, r.refers_to) == (("response", None) if last[t or ""] == i else ("revisit", last[t or ""]))
-    _, directory, at = warc.archive(pages)
-    found = warc.CaptureIndex(directory, at).find("http://A1.example.org/x1?q")
-    assert sorted(x["page_id"] for x in found) == [i for i in range(40) if i % 3 == 1 and i % 5 == 1]
+    _, index, at = warc.archive(pages)
+    found = warc.find_records(spark.createDataFrame([("http://A1.example.org/x1?q",), ("http://no.org/",), ("http://hot.org/",)], "url string"), index, at, payload=True).collect()
+    assert sorted(x["page_id"] for x in found) == sorted([i for i in range(40) if i % 3 == 1 and i % 5 == 1] + list(range(60, 80)))
+    assert {x["payload"] for x in found if x["record_type"] == "response" and x["page_id"] >= 60} == {b"hot"}
+    assert warc.archived(pages.limit(0)).count() == 0
+
+
+def test_warc_directories_are_searched_by_halving(tmp_path):
+    import json
+    import zlib
+
+    names = []
+    for f, keys in enumerate((["a", "b", "b"], ["b", "b", "c"], ["d", "e", "e"])):
+        blocks = [(k, k, 100 * i, 10) for i, k in enumerate(keys)]
+        body = zlib.compress("\n".join(map(json.dumps, blocks)).encode())
+        (tmp_path / f"{f}").write_bytes(body + len(body).to_bytes(8, "big"))
+        names.append((keys[0], keys[-1], str(tmp_path / f"{f}")))
+    directory = warc.Directory(names, str(tmp_path))
+    places = lambda key: [(n[-1], at) for n, at, _ in directory.find(key)]
+    assert places("b") == [("0", 100), ("0", 200), ("1", 0), ("1", 100)] and places("e") == [("2", 100), ("2", 200)]
+    assert places("cc") == places("0") == places("z") == [] and places("a") == [("0", 0)]
+
+
+def test_tokens_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrystone.llm import kernel
+
+    texts = pa.array(["a bb ccc", "", None, "x" * 300, "x" * 300, "yy", "é!é!! " * 40, " ", "tail" * 9])
+    whole = kernel.tokens(*kernel.flat(texts), kernel.MIXED_CLASSES)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(kernel, "BLOCK", block)
+        got = kernel.tokens(*kernel.flat(texts), kernel.MIXED_CLASSES)
+        assert all((x == y).all() for x, y in zip(whole, got, strict=True))
+    assert np.unique(whole[0][whole[1][3] : whole[1][5]]).size == 1
 
 
 def test_quality_keeps_good_and_drops_bad(spark):
@@ -253,4 +289,4 @@ def test_blocks_of_items_do_not_join_rows(spark):
     items = spark.createDataFrame([(10, "a b"), (11, "b c"), (12, "c d"), (13, "y z"), (None, "x y"), (14, "no")], "item_id long, text string")
     counted = lambda **how: Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in dc.decontaminate(docs, items, **how).collect())
     want = Counter({(1, 4, 4, (10, 11, 12), True): 2, (1, 4, 3, (13,), True): 1, (None, 4, 2, (10,), True): 1, (None, 4, 2, (12,), True): 1, (None, 4, 0, (), False): 1, (2, 0, 0, (), False): 2})
-    assert counted() == want and counted(block_items=2) == want
+    assert counted() == want and counted(block_chars=6) == want
