@@ -11,7 +11,7 @@ they don't depend on the order of rows. A dual that doesn't come within 1e-6 of
 
 Rates become copies by rounding down and dealing out one more copy to some documents of each size: sizes are walked through from
 the largest down, what a size can't take or takes too much is carried to the next, so a source ends within about its
-smallest documents of its target. Inside a size the documents with the smallest hashes get the copy. Sizes with many documents
+smallest documents of its target (within half of its largest one, where that is nearly all of it). Inside a size the documents with the smallest hashes get the copy. Sizes with many documents
 are divided into bins by hash, so no task ranks more than a bounded share of a source. What is walked through in one task is a
 source's table of sizes, not its documents.
 """
@@ -158,9 +158,10 @@ def balanced(cells: DataFrame, weights: tuple[float, ...], share: float, cap: in
 
 #: Walks through the sizes of a source, largest first: (words, size, times, bin, n, f, less, more); what is carried on are words.
 #: A size takes the number nearest to its due that the sizes after it can still make up for: together they can give up
-#: ``less`` words and take ``more``. Blocks of 256 sizes are added up, so that a long table is not copied for every size.
+#: ``less`` words and take ``more``. If none is (a document about as large as its source), it is the number nearest to the due. Blocks of 256 sizes are added up, so that a long table is not copied for every size.
 _DUE = "(c.n * c.f + a.carry / c.words)"
-_TAKE = f"greatest(0L, least(c.n, cast(greatest(ceil({_DUE} - c.more / c.words - 1e-9D), least(floor({_DUE} + c.less / c.words + 1e-9D), floor({_DUE} + 0.5D))) AS bigint)))"
+_MOST, _LEAST = f"floor({_DUE} + c.less / c.words + 1e-9D)", f"ceil({_DUE} - c.more / c.words - 1e-9D)"
+_TAKE = f"greatest(0L, least(c.n, cast(if({_LEAST} > {_MOST}, floor({_DUE} + 0.5D), greatest({_LEAST}, least({_MOST}, floor({_DUE} + 0.5D)))) AS bigint)))"
 _WALK = f"""aggregate(sequence(0, (size(cs) - 1) div 256), struct(0D AS carry, cast(array() AS array<bigint>) AS m), (o, b) ->
     aggregate(slice(cs, b * 256 + 1, 256), struct(o.carry AS carry, cast(array() AS array<bigint>) AS m),
         (a, c) -> struct(a.carry + c.words * (c.n * c.f - {_TAKE}) AS carry, array_append(a.m, {_TAKE}) AS m), a -> struct(a.carry AS carry, concat(o.m, a.m) AS m)), o -> o.m)"""

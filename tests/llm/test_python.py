@@ -206,19 +206,6 @@ def test_registered():
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for _, stage in cp.STAGES[:-1]:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns
-        docs = out
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    mix = cp.mixture(spark, docs, "/root/testdata/sf0.001").select("doc_id", "copy").collect()
-    assert {r.doc_id for r in mix} <= ids and len(mix) == len({tuple(r) for r in mix})
-
-
 def test_slices_never_rule_out_a_link():
     import numpy as np
     import pyarrow as pa
