@@ -277,3 +277,33 @@ def test_blocks_of_items_do_not_join_rows(spark):
     counted = lambda **how: Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in dc.decontaminate(docs, items, **how).collect())
     want = Counter({(1, 4, 4, (10, 11, 12), True): 2, (1, 4, 3, (13,), True): 1, (None, 4, 2, (10,), True): 1, (None, 4, 2, (12,), True): 1, (None, 4, 0, (), False): 1, (2, 0, 0, (), False): 2})
     assert counted() == want and counted(block_chars=6) == want
+
+
+def test_url_scores_against_brute_force(spark, monkeypatch):
+    rows = [(i % 130, f"https://{h}.net/{p}{i % 90}") for i in range(200) for h, p in (("good", "a"), ("bad", "zz-é𝔸"))]
+    urls = sorted({u for _, u in rows}) + ["x" * 100_000]
+    verdict = lambda u: "allow" if "good" in u else "block" if "bad" in u else None
+    table = spark.createDataFrame([(u, verdict(u)) for u in urls], "url string, verdict string").selectExpr("*", "unhex(md5(url)) AS id")
+    fit = {r.url for r in table.selectExpr("url", "pmod(xxhash64(url), 2) = 0 AS fit").collect() if r.fit}
+    windows = lambda u: [("\x02" * 2 + u + "\x03")[i : i + 3] for i in range(len(u) + 1)]
+    counts = {v: [Counter(w[2 - k :] for u in urls if u in fit and verdict(u) == v for w in windows(u)) for k in range(3)] for v in ("allow", "block")}
+
+    def p(w, v):
+        out = 1 / 256
+        for k in range(3):
+            g = w[2 - k :]
+            total = sum(c for x, c in counts[v][k].items() if x[:k] == g[:k])
+            out = (counts[v][k][g] + 2 * out) / (total + 2)
+        return out
+
+    for bound in (500_000, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", bound)
+        scores, cut = url_filter.score_urls(table, order=2)
+        got = {r.url: r.score for r in scores.join(table, "id").collect()}
+        assert set(got) == set(urls) and cut is not None
+        for u in urls[:5] + urls[-3:]:
+            ws = Counter(windows(u))
+            want = sum(n * math.log(p(w, "allow") / p(w, "block")) for w, n in ws.items()) / (len(u) + 1)
+            assert abs(got[u] - want) < 1e-6
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows] + [(None, rows[0][1], "x", 2)], "page_id long, url string, id string, n int")
+    assert Counter(r.page_id for r in url_filter.judge_urls(pages).collect()) == Counter([r[0] for r in rows] + [None])
