@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round every node hands its larger neighbours, then its smaller ones, to the smallest of them; after a number of rounds
     that grows with the logarithm of the size all nodes of a component hang on the smallest one. A link needs two long
-    values a round, and what a node gathers is added up before it is shuffled.
+    values a round, and what a node gathers is added up before it is shuffled; adaptive execution splits the links of hub nodes.
+    Links that aren't settled after ``rounds`` rounds, a limit far beyond any logarithm, raise an error.
     """
     e = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     state = None
@@ -31,5 +32,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import BLANK_CLASSES, flat, mix64, ngrams, small_batches, tokens
+from .runs import split_join
 from .store import drop, saved
 
 #: Entries of the table of common shingles that goes to all executors: 24 MB at most.
@@ -489,8 +490,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     drop(found, member, classes)
 
     small = described.select("doc_id", "sig", "n").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    names = small.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = small.join(names, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    names = small.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
+    out = split_join(small, names, "comp", "members", rows.count(), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     out = saved(out, "similar")
     drop(rows, nodes, comps)
     return out
