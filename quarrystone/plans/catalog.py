@@ -37,16 +37,16 @@ SPELLINGS = [
     (r"DOT\((\w+\.\w+), (\w+\.\w+)\)", r"aggregate(zip_with(\1, \2, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (a, x) -> a + x)", r"list_sum(list_transform(list_zip(\1, \2), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"),
 ]
 
+#: Only the query's words leave the rows they stand in: lengths are counted in the row, and what is shuffled are their counts.
 BM25 = """
-    tok AS (SELECT doc_id, EXPLODE(TOKENS(text)) AS t FROM documents),
-    tf AS (SELECT doc_id, t, count(*) AS f FROM tok GROUP BY doc_id, t),
-    dl AS (SELECT doc_id, sum(f) AS n FROM tf GROUP BY doc_id),
+    q AS (SELECT DISTINCT t FROM (SELECT EXPLODE(TOKENS({query})) AS t)),
+    dl AS (SELECT doc_id, n FROM (SELECT doc_id, SIZE(TOKENS(text)) AS n FROM documents) WHERE n > 0),
     st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
+    tf AS (SELECT doc_id, t, count(*) AS f FROM (SELECT doc_id, EXPLODE(TOKENS(text)) AS t FROM documents) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
     df AS (SELECT t, count(*) AS d FROM tf GROUP BY t),
-    q AS (SELECT DISTINCT t FROM (SELECT EXPLODE(TOKENS({query})) AS t)),
     scored AS (
         SELECT tf.doc_id, round(sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score
-        FROM q JOIN tf ON q.t = tf.t JOIN df ON df.t = q.t JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY tf.doc_id)"""
+        FROM tf JOIN df ON df.t = tf.t JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY tf.doc_id)"""
 
 _bm25 = lambda query=QUERY: BM25.replace("{query}", query)
 _COS = "a.vec_id AS q, b.vec_id, round(1 - DOT(a.embedding, b.embedding) / (sqrt(DOT(a.embedding, a.embedding)) * sqrt(DOT(b.embedding, b.embedding))), 6) + 0.0 AS dist"
