@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The marks that end a sentence.
+SENTENCE = re.compile("[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+$")
+
 
 def _pieces(text: str, size: int, overlap: int) -> list[str]:
     """Paragraphs packed up to ``size`` characters; each chunk begins with the last ``overlap`` characters of the one before.
@@ -54,6 +58,27 @@ def chunk_parent_child(docs: DataFrame, child: int = 300, parent: int = 1200) ->
         (F.col("seq") * child).alias("offset"), F.least(F.lit(child), F.length("parent") - F.col("seq") * child).alias("length"))
 
 
+def pack_sentences(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, seq, chunk): whole sentences packed up to ``size`` characters, without blanks at the ends; a longer sentence begins a
+    chunk of its own and is cut every ``size`` characters, what is left of it goes on with the next sentences. Null texts have none."""
+    def of(text: str) -> list[str]:
+        out, now = [], ""
+        for sentence in SENTENCE.findall(text):
+            cuts = [sentence[i : i + size] for i in range(0, len(sentence), size)]
+            if len(now) + len(sentence) <= size:
+                now += sentence
+            else:
+                out += [now, *cuts[:-1]]
+                now = cuts[-1]
+        return [x for x in (c.strip() for c in [*out, now]) if x]
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: of(t or ""))
+
+    return docs.select("doc_id", F.posexplode(cut("text")).alias("seq", "chunk"))
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row at a time as an array."""
     y, row = np.array([ord(c) for c in b]), np.zeros(len(b) + 1, np.int64)
@@ -64,12 +89,12 @@ def _lcs(a: str, b: str) -> int:
 
 
 def rouge_l(a: Column, b: Column) -> Column:
-    """F1 of the longest common subsequence of characters; 0 if either text is empty or null."""
+    """F1 of the longest common subsequence of characters that aren't blank; 0 if either text has none or is null."""
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([2 * _lcs(p, q) / (len(p) + len(q)) if p and q else 0.0 for p, q in zip(x, y, strict=True)])
 
-    return score(a, b)
+    return score(F.regexp_replace(a, r"\s+", ""), F.regexp_replace(b, r"\s+", ""))
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import squashed
+from ..functions.scalars import NUMERALS, UNITS, article_number, squashed
 
 
 def islands(units: DataFrame, by: str, order: str, block: str, kept: Column) -> DataFrame:
@@ -35,6 +35,19 @@ def bins_by_budget(items: DataFrame, by: str, order: list[str], size: str, budge
     return items.join(bins, [by, *order])
 
 
+def article_blocks(lines: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
+    """(by, block, path, number, n_lines, body): a line that starts with an article's label opens a block, 0 is what stands before the
+    first one; chapter lines aren't in blocks but are the ``path`` of what follows, and divide a block. Lines are joined by \\n; null
+    lines belong to no block. ``order`` must be unique in a document, whose lines are sorted in one task."""
+    w, signs = Window.partitionBy(by).orderBy(order), "".join([*NUMERALS, *UNITS])
+    chapter, article = F.col(text).rlike(rf"^第\s*[{signs}0-9]+\s*章"), F.col(text).rlike(rf"^第\s*[{signs}0-9]+\s*条")
+    out = lines.where(F.col(text).isNotNull()).withColumns({"chapter_": chapter, "article_": article})
+    out = out.withColumns({"block": F.sum(F.col("article_").cast("long")).over(w), "path": F.last(F.when(F.col("chapter_"), F.col(text)), ignorenulls=True).over(w)})
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    blocks = out.where("not chapter_").groupBy(by, "block", "path").agg(F.count("*").alias("n_lines"), F.transform(rows, lambda x: x["t"]).alias("l_"))
+    return blocks.select(by, "block", "path", article_number(F.get("l_", F.lit(0))).alias("number"), "n_lines", F.array_join("l_", "\n").alias("body"))
+
+
 def anchor_join(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(anchor, quote, chunk_id) for asked (anchor, quote) and chunks (chunk_id, text, anchors, split_part): if all chunks of an
     anchor are pieces of a divided paragraph, only those with the quote count, unless none has it."""

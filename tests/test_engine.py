@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import verify
-from quarrystone.operators import chunking
-from quarrystone.plans import catalog
+from quarrystone.operators import chunking, units
+from quarrystone.plans import catalog, unit_queries
 from quarrystone.streaming import sessions
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "cosine_topk", "hybrid_rrf", "history_budget", "group_cap_reveal", "keyword_router", "usage_summary", "fixed_stride_chunks"])
-def test_query_against_sql(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     import duckdb
 
-    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    con = duckdb.connect()
     for t in verify.TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    assert verify.rows_of(catalog.QUERIES[name](spark, sf).toArrow()) == verify.rows_of(con.sql(catalog.ORACLES[name]).to_arrow_table())
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES | unit_queries.ORACLES))
+def test_query_against_sql(spark, duck, name):
+    queries, oracles = catalog.QUERIES | unit_queries.QUERIES, catalog.ORACLES | unit_queries.ORACLES
+    got, want = queries[name](spark, "/root/testdata/sf0.001").toArrow(), duck.sql(oracles[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(want.column_names)
+    assert verify.rows_of(got) == verify.rows_of(want)
 
 
 def test_entry(spark):
@@ -44,8 +52,41 @@ def test_chunks_are_bounded_and_lose_nothing(spark):
     assert all(r.length == len(r.chunk) for r in chunking.chunk_parent_child(docs).collect())
 
 
+def test_sentences_are_packed(spark):
+    """Held against packing by single characters."""
+    rng, size = random.Random(7), 30
+    texts = ["".join(rng.choice("ab 。！?;\n" if i % 3 else "abcdef ghi。") for _ in range(rng.randint(0, 400))) for i in range(60)] + ["", None, "x" * 95, "。", "  "]
+
+    def slow(text):
+        out, now, sentence = [], "", ""
+        for i, c in enumerate(text):
+            sentence += c
+            if c not in "。！？；!?;" and i + 1 < len(text):
+                continue
+            if len(now + sentence) > size:
+                out, now = [*out, now], ""
+                while len(sentence) > size:
+                    out, sentence = [*out, sentence[:size]], sentence[size:]
+            now, sentence = now + sentence, ""
+        return [x.strip() for x in [*out, now] if x.strip()]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunking.pack_sentences(docs, size).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert got == {i: c for i, t in enumerate(texts) if (c := slow(t or ""))}
+
+
+def test_article_blocks_of_odd_lines(spark):
+    lines = [("d", 1, "前言"), ("d", 2, "第一章 总则"), ("d", 3, "第一条 甲"), ("d", 4, None), ("d", 5, ""), ("d", 6, "第 二 章 附则"), ("d", 7, "仍属第一条"), ("d", 8, "第十二条"), (None, 1, "x")]
+    rows = units.article_blocks(spark.createDataFrame(lines, "doc string, k int, text string"), "doc", "k").collect()
+    assert sorted(((r.doc or ""), r.block, r.path or "", r.number, r.n_lines, r.body) for r in rows) == [
+        ("", 0, "", None, 1, "x"), ("d", 0, "", None, 1, "前言"), ("d", 1, "第 二 章 附则", None, 1, "仍属第一条"), ("d", 1, "第一章 总则", 1, 2, "第一条 甲\n"), ("d", 2, "第 二 章 附则", 12, 1, "第十二条")]
+    assert not units.article_blocks(spark.createDataFrame([], "doc string, k int, text string"), "doc", "k").count()
+
+
 def test_similarities(spark):
-    df = spark.createDataFrame([("abcd", "abxd"), ("", "a"), (None, "a"), ("same", "same")], "a string, b string")
+    df = spark.createDataFrame([("abcd", "abxd"), ("", "a"), (None, "a"), ("same", "s am\ne")], "a string, b string")
     rows = df.select(chunking.rouge_l(F.col("a"), F.col("b")).alias("r"), chunking.sequence_ratio(F.col("a"), F.col("b")).alias("s")).collect()
     assert [r.r for r in rows] == [0.75, 0.0, 0.0, 1.0]
     assert rows[0].s == difflib.SequenceMatcher(None, "abcd", "abxd", autojunk=False).ratio()
