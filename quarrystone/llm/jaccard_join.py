@@ -411,11 +411,16 @@ def _verified(docs: DataFrame, nodes: DataFrame, comps: DataFrame, pairs: DataFr
     side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
     pairs = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
     pairs = saved(pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "pairs-across")
+    if pairs.isEmpty():
+        return pairs
     both = lambda p: p.select(F.col("a").alias("sig")).unionByName(p.select(F.col("b").alias("sig"))).distinct()
     hist = saved(nodes.join(both(pairs), "sig", "left_semi").select("sig", "n", "hist"), "classes")
     of = lambda c: hist.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
     left = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "hist_a", "hist_b")
     left = saved(left.mapInArrow(_bounded(percent), "a long, b long"), "pairs-left")
+    drop(pairs, hist)
+    if left.isEmpty():
+        return left
     ids = nodes.join(both(left), "sig", "left_semi").select("doc_id")
     slices = saved(_only(docs, ids).mapInArrow(_slices(words), "sig long, n long, hist binary, slice binary"), "slices")
     of = lambda c: slices.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"), F.col("slice").alias(f"slice_{c}"))
@@ -423,12 +428,14 @@ def _verified(docs: DataFrame, nodes: DataFrame, comps: DataFrame, pairs: DataFr
     close = saved(close.mapInArrow(_within_slices(percent), "a long, b long"), "pairs-close")
     drop(left, slices)
     left = close
+    if left.isEmpty():
+        return left
     ids = nodes.join(both(left), "sig", "left_semi").select("doc_id")
     sets = saved(_only(docs, ids).mapInArrow(_sets(words), "sig long, elements binary"), "sets-left")
     of = lambda c: sets.select(F.col("sig").alias(c), F.col("elements").alias(f"elements_{c}"))
     more = left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "elements_a", "elements_b").mapInArrow(_compared(percent), "a long, b long")
     more = saved(more, "verified-links")
-    drop(pairs, hist, left, sets)
+    drop(left, sets)
     return more
 
 
@@ -469,8 +476,10 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     # First the pairs of short lists and each node's nearest partner in long ones; most components meet by these, and
     # what they imply is left out when all remaining pairs of the long lists are looked at.
     short = found.where("h is null").select("a", "b")
-    classes = None
+    classes, moved = None, True
     for nearest in (True, True, False):
+        if nearest and not moved:  # the same components leave every node the same nearest partner
+            continue
         within = member.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         mixed = within.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
         # Components only grow, so a list of one component is never mixed again.
@@ -478,6 +487,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         drop(member)
         member = mixed.drop("comp")
         member.saved_path = mixed.saved_path
+        if short is None and mixed.isEmpty():
+            break
         if classes is None:
             classes = saved(_only(nodes.select("sig", "hist"), member.select("sig")), "list-classes")
         across = mixed.join(classes, "sig").repartition("h").sortWithinPartitions("h", "n").select("h", "sig", "n", "pos", "comp", "hist")
@@ -485,7 +496,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         pairs = pairs if short is None else pairs.unionByName(short)
         short = None
         links = _verified(docs, nodes, comps, pairs, words, percent)
-        if not links.isEmpty():
+        moved = not links.isEmpty()
+        if moved:
             comps = saved(components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
     drop(found, member, classes)
 
