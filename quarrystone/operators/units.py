@@ -48,6 +48,35 @@ def article_blocks(lines: DataFrame, by: str, order: str, text: str = "text") ->
     return blocks.select(by, "block", "path", article_number(F.get("l_", F.lit(0))).alias("number"), "n_lines", F.array_join("l_", "\n").alias("body"))
 
 
+def without_contents(lines: DataFrame, by: str, order: str, text: str = "text", within: int = 40, reach: int = 300, most: int = 60) -> DataFrame:
+    """``lines`` without a document's table of contents. It begins with a line 目录 among the first ``within`` ones, and ends where its
+    first entry stands again in the next ``reach`` lines; if it doesn't, with the short lines (``most`` characters, no full stop
+    at the end) that follow. Lines of a document are numbered from 0; null lines are short and equal to none. What is
+    added up is a row a document, and nothing is sorted."""
+    n, t = F.col(order), F.col(text)
+    head = lines.where((n < within) & t.rlike(r"^\s*目\s*[录次]\s*$")).groupBy(by).agg(F.min(order).alias("k_"))
+    after = lines.join(head, by).where(n > F.col("k_"))
+    long = ~F.coalesce((F.length(t) <= most) & ~t.endswith("。"), F.lit(True))
+    ends = after.groupBy(by).agg(F.min(F.when(long, n)).alias("end_"), (F.max(n) + 1).alias("all_"), F.max(F.when(n == F.col("k_") + 1, t)).alias("first_"))
+    again = (n > F.col("k_") + 1) & (n < F.col("k_") + reach) & (t == F.col("first_")) & (F.coalesce("end_", "all_") > F.col("k_") + 1)
+    back = after.join(ends, by).where(again).groupBy(by).agg(F.min(order).alias("back_"))
+    cut = head.join(ends, by, "left").join(back, by, "left").select(by, "k_", F.coalesce("back_", "end_", "all_", F.col("k_") + 1).alias("j_"))
+    gone = F.coalesce((n >= F.col("k_")) & (n < F.col("j_")), F.lit(False))
+    return lines.join(cut, by, "left").where(~gone).select(lines.columns)
+
+
+def outline(lines: DataFrame, by: str, order: str, level: str, text: str = "text", levels: int = 6) -> DataFrame:
+    """``lines`` with ``path`` (the headings that a line stands under, its own among them, outermost first) and ``section``, the number of the
+    heading in its document, 0 before the first. ``level`` is 1 to ``levels`` for headings and null for other lines; a heading closes those of
+    its level and below. ``order`` is unique in a document, whose lines are sorted in one task."""
+    w = Window.partitionBy(by).orderBy(order)
+    last = lambda c: F.last(F.when(c, F.struct(F.col(order).alias("o"), F.col(text).alias("t"))), ignorenulls=True).over(w)
+    rows = lines.withColumns({f"at{i}_": last(F.col(level) == i) for i in range(1, levels + 1)} | {f"up{i}_": last(F.col(level) < i)["o"] for i in range(2, levels + 1)})
+    open_ = [F.when(F.lit(True) if i == 1 else F.coalesce(F.col(f"at{i}_.o") > F.col(f"up{i}_"), F.col(f"up{i}_").isNull()), F.col(f"at{i}_.t")) for i in range(1, levels + 1)]
+    rows = rows.withColumns({"path": F.array_compact(F.array(*open_)), "section": F.count(level).over(w)})
+    return rows.select(*lines.columns, "path", "section")
+
+
 def anchor_join(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(anchor, quote, chunk_id) for asked (anchor, quote) and chunks (chunk_id, text, anchors, split_part): if all chunks of an
     anchor are pieces of a divided paragraph, only those with the quote count, unless none has it."""

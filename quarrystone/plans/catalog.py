@@ -49,6 +49,7 @@ BM25 = """
         FROM tf JOIN df ON df.t = tf.t JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY tf.doc_id)"""
 
 _bm25 = lambda query=QUERY: BM25.replace("{query}", query)
+_VOCAB = _bm25("'large widget'").replace("FROM documents", "FROM vocab")
 _COS = "a.vec_id AS q, b.vec_id, round(1 - DOT(a.embedding, b.embedding) / (sqrt(DOT(a.embedding, a.embedding)) * sqrt(DOT(b.embedding, b.embedding))), 6) + 0.0 AS dist"
 _PS = "SELECT l_partkey AS s, l_suppkey AS o, count(*) AS n, max(l_discount) AS w, max(l_tax) AS c FROM lineitem GROUP BY l_partkey, l_suppkey"
 
@@ -74,7 +75,7 @@ SQL: dict[str, str] = {
     "paragraph_candidates": "WITH p AS (SELECT doc_id, EXPLODE(LINES(text)) AS par FROM documents), s AS (SELECT doc_id, par, SIZE(ALL_OF(par, '(?:that|with) ')) AS hits FROM p) SELECT doc_id, par, hits FROM (SELECT DISTINCT * FROM s) ORDER BY hits DESC, doc_id, par LIMIT 12",
     "cosine_topk": f"SELECT vec_id, dist FROM (SELECT {_COS} FROM embeddings a JOIN embeddings b ON a.vec_id = 0 AND b.vec_id <> 0) ORDER BY dist, vec_id LIMIT 10",
     "cosine_threshold_keep_one": f"SELECT vec_id, dist FROM (SELECT *, sum(CASE WHEN dist <= 0.3 THEN 1 ELSE 0 END) OVER () AS n FROM (SELECT {_COS} FROM embeddings a JOIN embeddings b ON a.vec_id = 1 AND b.vec_id <> 1 ORDER BY dist, b.vec_id LIMIT 20)) WHERE n = 0 OR dist <= 0.3",
-    "hybrid_rrf": f"WITH {_bm25()}, l1 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored), l2 AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM dl), u AS (SELECT * FROM l1 WHERE r <= 50 UNION ALL SELECT * FROM l2 WHERE r <= 50) SELECT u.doc_id, max(d.lang) AS lang, round(sum(1 / (60 + r)), 6) AS score FROM u LEFT JOIN documents d ON d.doc_id = u.doc_id GROUP BY u.doc_id ORDER BY score DESC, doc_id LIMIT 10",
+    "hybrid_rrf": f"WITH {_bm25()}, v AS (SELECT {_COS} FROM (SELECT * FROM embeddings WHERE vec_id = 0) a CROSS JOIN embeddings b WHERE b.vec_id <> 0), t1 AS (SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 50), t2 AS (SELECT vec_id AS doc_id, dist FROM v ORDER BY dist, vec_id LIMIT 50), u AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM t1 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY dist, doc_id) AS r FROM t2) SELECT u.doc_id, max(d.lang) AS lang, round(sum(1 / (60 + r)), 6) AS score FROM u LEFT JOIN documents d ON d.doc_id = u.doc_id GROUP BY u.doc_id ORDER BY score DESC, doc_id LIMIT 10",
     "rerank_pool_then_cut": f"WITH {_bm25()}, pool AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20) SELECT p.doc_id, round(score / ln(2 + n_chars), 6) AS rescored FROM pool p JOIN documents d ON d.doc_id = p.doc_id ORDER BY rescored DESC, doc_id LIMIT 4",
     "parent_expand_first": f"WITH {_bm25()}, r AS (SELECT doc_id, score, IDIV(doc_id, 5) AS parent, row_number() OVER (ORDER BY score DESC, doc_id) AS rk FROM scored) SELECT parent, doc_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY rk) AS k FROM r) WHERE k = 1 ORDER BY rk LIMIT 20",
     "retrieval_metrics_at_k": f"WITH d AS (SELECT {_COS}, a.label AS la, b.label AS lb FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, vec_id) AS rk, sum(CASE WHEN la = lb THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS gold FROM d) SELECT q, {', '.join(map(_metrics, (1, 3, 5, 10)))} FROM r GROUP BY q",
@@ -146,7 +147,7 @@ SQL: dict[str, str] = {
     "history_budget": "WITH t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS pair FROM conversations WHERE role <> 'system'), p AS (SELECT conv_id, pair, sum(length(text)) AS n FROM t GROUP BY conv_id, pair), r AS (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS run FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY pair DESC)) SELECT conv_id, pair, run FROM r WHERE k <= 6 AND (k = 1 OR run <= 800)",
     "older_turns": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role <> 'system') WHERE k > 2 AND turn >= 1",
     "history_normalise": "WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role IN ('user', 'assistant')), f AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM l WHERE k <= 6) SELECT conv_id, turn, role, substr(text, 1, 500) AS text FROM f WHERE seen = 1",
-    "history_merge": "SELECT conv_id, turn FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE CASE WHEN c > 1 THEN k <= 4 ELSE true END",
+    "history_merge": "WITH client AS (SELECT conv_id, turn, text, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations WHERE conv_id % 3 <> 0 AND turn > 0), won AS (SELECT conv_id, turn, text FROM client WHERE c > 1), merged AS (SELECT conv_id, turn, text FROM won UNION ALL SELECT conv_id, turn, text FROM conversations s WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.conv_id = s.conv_id)), recent AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM merged) SELECT conv_id, turn FROM recent WHERE k <= 8 AND (used <= 1200 OR k = 1)",
     "seq_assign": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations",
     "insert_or_ignore": "SELECT md5(text) AS hash, min(conv_id) AS first_conv, count(*) AS n FROM conversations GROUP BY md5(text)",
     "meta_predicates": "SELECT conv_id, turn, MATCHES(text, '^(The|And|Is) ') AS opening, MATCHES(text, '[?]$') AS asks, length(text) <= 20 AS brief FROM conversations",
@@ -178,7 +179,7 @@ SQL: dict[str, str] = {
     "point_lookup": "SELECT p.p_partkey, p.p_name, s.n FROM part p LEFT JOIN (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) s ON s.p_name = p.p_name WHERE p.p_partkey = 42",
     "two_members": "SELECT p_name, p_partkey FROM (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 2",
     "best_bodies": f"WITH {_bm25()} SELECT source, doc_id FROM (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY coalesce(score, 0) DESC, d.doc_id) AS k FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id) WHERE k <= 2",
-    "tiered_vocab_search": "SELECT p_partkey, score FROM (SELECT p_partkey, CASE WHEN lower(p_name) = 'part' THEN 1000 WHEN contains(lower(p_name), 'part') THEN 300 + length(p_name) ELSE 0 END AS score FROM part) WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20",
+    "tiered_vocab_search": f"WITH vocab AS (SELECT p_partkey AS doc_id, lower(concat(p_name, ' ', p_type)) AS text FROM part), {_VOCAB}, names AS (SELECT p_partkey, lower(p_name) AS alias FROM part UNION ALL SELECT p_partkey, lower(p_type) FROM part UNION ALL SELECT p_partkey, lower(concat(p_name, ' ', p_type)) FROM part), found AS (SELECT p_partkey, CASE WHEN alias = 'large widget' THEN 1000 WHEN contains('large widget', alias) THEN 500 + length(alias) WHEN contains(alias, 'large widget') THEN 300 + length(alias) ELSE 0 END AS score FROM names), u AS (SELECT p_partkey, CAST(score AS DOUBLE) AS score FROM found WHERE score > 0 UNION ALL SELECT doc_id, score FROM scored) SELECT p_partkey, max(score) AS score FROM u GROUP BY p_partkey ORDER BY score DESC, p_partkey LIMIT 500",
     "render_rows": "SELECT LIST(concat(CAST(k AS STRING), '. ', p_name) BY k SEP ' | ') AS listing FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS k FROM part WHERE p_size = 7)",
     "ordered_union_cap": "WITH u AS (SELECT doc_id, 1 AS l, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents UNION ALL SELECT doc_id, 2, row_number() OVER (ORDER BY n_chars, doc_id) FROM documents WHERE lang = 'en'), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l, r) AS k FROM u WHERE r <= 30) SELECT doc_id, l, r FROM f WHERE k = 1 ORDER BY l, r LIMIT 40",
     "key_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import chunking, units
+from ..operators import bm25_index, chunking, units
+from . import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,6 +196,32 @@ def article_blocks(part: DataFrame) -> DataFrame:
     return units.article_blocks(lines, "doc", "k", "line").select("doc", "block", "path", "number", "n_lines", F.md5("body").alias("digest"))
 
 
+_NUMBERED = """SELECT p_brand AS doc, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, p_partkey, p_size, concat(CASE WHEN p_size % 8 < 1 THEN '。' ELSE '' END, p_name, CASE WHEN p_size % 8 = 1 THEN '。' ELSE '' END) AS name FROM part"""
+_CONTENTS = f"SELECT doc, k, p_partkey, CASE WHEN k = length(doc) - 6 THEN '目 录' ELSE name END AS line FROM ({_NUMBERED}) WHERE doc <> 'Brand#3'"
+
+
+@_query("part", f"""
+WITH l AS ({_CONTENTS}), h AS (SELECT doc, k AS mark FROM l WHERE line = '目 录'),
+e AS (SELECT doc, mark, (SELECT min(k) FROM l WHERE l.doc = h.doc AND k > mark AND line LIKE '%。') AS stop, (SELECT max(k) + 1 FROM l WHERE l.doc = h.doc) AS total,
+(SELECT line FROM l WHERE l.doc = h.doc AND k = mark + 1) AS entry FROM h),
+c AS (SELECT doc, mark, coalesce((SELECT min(k) FROM l WHERE l.doc = e.doc AND l.line = entry AND k > mark + 1 AND k < mark + 300 AND coalesce(stop, total) > mark + 1), stop, total) AS upto FROM e)
+SELECT doc, p_partkey, line FROM l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = l.doc AND k >= mark AND k < upto)""")
+def without_contents(part: DataFrame) -> DataFrame:
+    part.createOrReplaceTempView("part")
+    return units.without_contents(part.sparkSession.sql(_CONTENTS), "doc", "k", "line").select("doc", "p_partkey", "line")
+
+
+@_query("part", """
+WITH l AS (SELECT p_brand AS doc, p_partkey AS k, CASE WHEN p_size % 5 < 3 THEN p_size % 5 + 1 END AS level, p_name AS line FROM part),
+a AS (SELECT *, max(CASE WHEN level = 1 THEN k END) OVER w AS k1, max(CASE WHEN level = 2 THEN k END) OVER w AS k2, max(CASE WHEN level = 3 THEN k END) OVER w AS k3,
+count(level) OVER w AS section FROM l WINDOW w AS (PARTITION BY doc ORDER BY k)),
+o AS (SELECT doc, k, section, k1, CASE WHEN k2 > coalesce(k1, -1) THEN k2 END AS k2, CASE WHEN k3 > greatest(coalesce(k1, -1), coalesce(k2, -1)) THEN k3 END AS k3 FROM a)
+SELECT o.doc, o.k, section, concat_ws('/', x.line, y.line, z.line) AS path FROM o LEFT JOIN l x ON x.doc = o.doc AND x.k = k1 LEFT JOIN l y ON y.doc = o.doc AND y.k = k2 LEFT JOIN l z ON z.doc = o.doc AND z.k = k3""")
+def outline_paths(part: DataFrame) -> DataFrame:
+    lines = part.selectExpr("p_brand AS doc", "p_partkey AS k", "CASE WHEN p_size % 5 < 3 THEN p_size % 5 + 1 END AS level", "p_name AS line")
+    return units.outline(lines, "doc", "k", "level", "line", levels=3).select("doc", "k", "section", F.array_join("path", "/").alias("path"))
+
+
 @_query("pages", "SELECT page_id, page_id % 7 < 2 AS broken FROM pages")
 def broken_names(pages: DataFrame) -> DataFrame:
     mark = F.when(F.col("page_id") % 7 == 0, "\ufffd").when(F.col("page_id") % 7 == 1, "\ue001").otherwise("é")
@@ -228,3 +255,7 @@ def text_overlaps(benchmark: DataFrame) -> DataFrame:
 def holdout_split(orders: DataFrame) -> DataFrame:
     train, test = units.grouped_split(orders, "o_custkey", "o_orderpriority")
     return train.select("o_orderkey", F.lit("train").alias("part")).unionAll(test.select("o_orderkey", F.lit("test").alias("part")))
+
+
+QUERIES["bm25_saved_index"] = bm25_index.bm25_saved_index
+ORACLES["bm25_saved_index"] = catalog.ORACLES["bm25_topk"]
