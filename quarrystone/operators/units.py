@@ -118,6 +118,49 @@ def longest_names(docs: DataFrame, names: DataFrame, text: str = "text", max_nam
     return docs.crossJoin(F.broadcast(pool)).withColumn("found", _contained(text, "names_")).drop("names_")
 
 
+# Fixed value: what divides a term into several.
+DIVIDERS = r"[、，,/；;（）()]|和|与|及"
+
+
+def _substrings(text: Column, least: int, most: Column) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    sizes = lambda i: F.filter(F.sequence(F.lit(least), F.greatest(most, F.lit(least))), lambda m: i + m - 1 <= F.length(text))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(sizes(i), lambda m: F.substring(text, i, m)))))
+
+
+def link_terms(asked: DataFrame, concepts: DataFrame, least: int = 3) -> DataFrame:
+    """(id, chapter, term, names, how) for each distinct row of asked (id, chapter, term): the concepts (name, chapter) that a term names.
+
+    Names and terms are compared by letters and digits. Concepts of the same chapter come before all (``same``, ``cross``); among them the
+    term itself (``exact``), its parts (``split``), names of ``least`` letters or more in it, longest first and not overlapping
+    (``contains``), then the two shortest names that it stands in (``within``). Without any, names are empty and how is ``none``; a
+    null chapter is no chapter, a null term has no name. Substrings meet names by equality, so nothing is compared pair by pair."""
+    keyed = asked.select("id", "chapter", "term").distinct().withColumn("key", squashed(F.col("term")))
+    names = concepts.select(squashed(F.col("name")).alias("name"), F.col("chapter").alias("of")).where("name <> ''").distinct()
+    longest = F.lit(names.agg(F.max(F.length("name"))).first()[0] or 0)
+    parts = F.filter(F.transform(F.split("term", DIVIDERS), squashed), lambda x: F.length(x) >= 2)
+    looks = F.array(F.struct(F.lit(0).alias("way"), F.col("key").alias("look")))
+    looks = F.concat(looks, F.when(F.size(parts) > 1, F.transform(parts, lambda x: F.struct(F.lit(1).alias("way"), x.alias("look")))).otherwise(F.slice(looks, 1, 0)))
+    looks = F.concat(looks, F.transform(_substrings(F.col("key"), least, longest), lambda x: F.struct(F.lit(2).alias("way"), x.alias("look"))))
+    inside = keyed.where("key <> ''").select("*", F.inline(looks)).join(names, F.col("look") == F.col("name"))
+    around = names.select("*", F.explode(_substrings(F.col("name"), least, F.length("name"))).alias("look"))
+    around = keyed.join(around, F.col("key") == F.col("look")).withColumn("way", F.lit(3))
+    columns = ["id", "chapter", "term", "key", "way", "name", "of"]
+    found = inside.select(columns).unionByName(around.select(columns))
+    scopes = F.when(F.col("chapter") == F.col("of"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    group = ["id", "chapter", "term", "key", "scope", "way"]
+    found = found.withColumn("scope", F.explode(scopes)).select(*group, "name").distinct()
+    few = found.where("way = 3").withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(F.length("name"), "name"))).where("r <= 2").drop("r")
+    sets = found.where("way < 3").unionByName(few).groupBy(group).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    best = sets.groupBy("id", "chapter", "term", "key").agg(F.min(F.struct("scope", "way", "names")).alias("x"))
+    how = F.concat(F.element_at(F.array(*map(F.lit, ["exact", "split", "contains", "within"])), F.col("x.way") + 1), F.when(F.col("x.scope") == 0, ":same").otherwise(":cross"))
+    best = best.withColumn("names", F.when(F.col("x.way") == 2, _contained("key", "x.names")).otherwise(F.col("x.names")))
+    best = best.select(*[F.col(c).alias(f"{c}_") for c in ("id", "chapter", "term")], "names", how.alias("how"))
+    same = [keyed[c].eqNullSafe(best[f"{c}_"]) for c in ("id", "chapter", "term")]
+    out = keyed.join(best, same[0] & same[1] & same[2], "left")
+    return out.select("id", "chapter", "term", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("how", F.lit("none")).alias("how"))
+
+
 @F.pandas_udf(T.IntegerType())
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common substring; null texts are empty. Halves the length: substrings of one length are hashed."""

@@ -200,6 +200,15 @@ _NUMBERED = """SELECT p_brand AS doc, row_number() OVER (PARTITION BY p_brand OR
 _CONTENTS = f"SELECT doc, k, p_partkey, CASE WHEN k = length(doc) - 6 THEN '目 录' ELSE name END AS line FROM ({_NUMBERED}) WHERE doc <> 'Brand#3'"
 
 
+@_query("part")
+def term_links(part: DataFrame) -> DataFrame:
+    """Types and brands of all parts, looked up among the parts' names and their words."""
+    shown = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws("、", "p_type", "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" "), "p_brand")).otherwise(F.col("p_type"))
+    asked = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("chapter"), shown.alias("term"))
+    words = part.select(F.explode(F.concat(F.array("p_name", "p_type"), F.split("p_name", " "))).alias("name"), (F.col("p_partkey") % 4).alias("chapter")).distinct()
+    return units.link_terms(asked, words).select("id", "chapter", "term", F.array_join("names", "|").alias("names"), "how")
+
+
 @_query("part", f"""
 WITH l AS ({_CONTENTS}), h AS (SELECT doc, k AS mark FROM l WHERE line = '目 录'),
 e AS (SELECT doc, mark, (SELECT min(k) FROM l WHERE l.doc = h.doc AND k > mark AND line LIKE '%。') AS stop, (SELECT max(k) + 1 FROM l WHERE l.doc = h.doc) AS total,
