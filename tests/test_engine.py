@@ -117,7 +117,8 @@ def test_near_pairs_of_whole_texts_against_brute_force(spark, tmp_path):
     assert any(len(texts[i]) > 600 and c < 1 for i, _, c in want)
 
 
-def test_bits_rule_out_unlike_texts_and_lose_no_pair(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("broadcast", [-1, 1_000_000])
+def test_bits_rule_out_unlike_texts_and_lose_no_pair(spark, tmp_path, monkeypatch, broadcast):
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     texts = [" ".join(rng.choices(words, k=rng.randint(5, 300))) for _ in range(150)]
@@ -130,6 +131,7 @@ def test_bits_rule_out_unlike_texts_and_lose_no_pair(spark, tmp_path, monkeypatc
     met = []
     saved = near_pairs.saved
     monkeypatch.setattr(near_pairs, "saved", lambda df, name: met.append((name, saved(df, name))) or met[-1][1])
+    monkeypatch.setattr(near_pairs, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(near_pairs, "BITS", (16, 1 << 14))
     monkeypatch.setattr(near_pairs, "TEXTS", (8, 1 << 12))
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
